@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, packing, token_store
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_token_files": token_store.op7_token_files,
 }
 
 ORACLE = {
