@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_store
+from . import exact_dedup, packing, quality_rules, token_store
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_token_files": token_store.op7_token_files,
 }
 
 ORACLE = {
+    "op3_quality_rules": quality_rules.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
 }
