@@ -18,6 +18,8 @@ ordered by text; an empty table gives no files and no rows; other columns are ig
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -92,44 +94,63 @@ class Encoder:
 
     The byte-level pre-tokeniser always starts a new piece at a space between two other characters, so a text may be cut there
     without changing its ids. Texts that hold an added token, or control characters on whose class libraries differ, go to the library whole.
+    The memo has two generations, so that frequent chunks stay when rare ones are dropped, and a bounded size.
     """
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __init__(self, path: str):
-        import re
-
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([*added, r"[\x1c-\x1f\x85\u180e\u200b]"]))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.rare = re.compile(r"[\x00-\x09\x0b-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+        self.unclear = re.compile(r"[\x1c-\x1f\x85\u180e\u200b]")
         self.odd = re.compile(r"(?<!\S) | (?!\S)")
         self.cut = re.compile(r"(?<=\S) (?=\S)")
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def chunks(self, text: str) -> list[str] | None:
-        if self.whole.search(text):
+        """The chunks of a text in order, or None where the library has to see the whole text."""
+        if any(t in text for t in self.added):
             return None
-        if self.odd.search(text):
-            parts = self.cut.split(text)
-        else:
-            parts = text.split(" ")
-        return [parts[0], *(" " + p for p in parts[1:])]
+        odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
+        if self.rare.search(text):
+            if self.unclear.search(text):
+                return None
+            odd = odd or self.odd.search(text)
+        parts = self.cut.split(text) if odd else text.split(" ")
+        return [parts[0], *[" " + p for p in parts[1:]]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         cut = [self.chunks(t) for t in texts]
-        if len(self.known) > self.LIMIT:
-            self.known = {}
-        known = self.known
-        new = list({c for parts in cut if parts for c in parts if c not in known})
-        for at in range(0, len(new), 20_000):
-            known.update(zip(new[at : at + 20_000], self._library(new[at : at + 20_000]), strict=True))
-        return [b"".join(map(known.__getitem__, parts)) if parts is not None else self._library([t])[0] for parts, t in zip(cut, texts, strict=True)]
+        if len(self.young) > self.LIMIT:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = {c for parts in cut if parts for c in parts}.difference(young)
+        for c in old.keys() & new:
+            young[c] = old[c]
+        missing = [c for c in new if c not in old]
+        for at in range(0, len(missing), 5_000):
+            young.update(zip(missing[at : at + 5_000], self._library(missing[at : at + 5_000]), strict=True))
+        return [b"".join([young[c] for c in parts]) if parts is not None else self._library([t])[0] for parts, t in zip(cut, texts, strict=True)]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """One encoder a worker process: its memo serves all tasks that the process runs."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class Writer:
@@ -212,12 +233,12 @@ def encode_corpus(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
             if writer is None:
                 filesystem, base = _open(folder)
                 filesystem.create_dir(base, recursive=True)
-                encoder = Encoder(tokenizer_path)
+                encoder = encoder_for(tokenizer_path)
                 name = f"{base}/ids-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
                 sink = filesystem.open_output_stream(name + ".part")
                 writer = Writer(sink)
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 tokens = encoder.encode(part.column("text").to_pylist())
                 writer.add(part.column("id").to_pylist(), [t + end for t in tokens])
         if writer is None:
