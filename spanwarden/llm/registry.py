@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality_rules, suffix_dedup, token_store, unigram, weak_labels
+from . import exact_dedup, near_dedup, packing, quality_rules, suffix_dedup, token_store, unigram, weak_labels
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op5_near_duplicates": near_dedup.op5_near_duplicates,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_token_files": token_store.op7_token_files,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
