@@ -24,16 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder; `release` deletes it."""
+def scratch_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
+    """A fresh path below the shared folder; `release` deletes it, unless it is to be kept."""
     path = f"{shared_dir(spark)}/spanwarden/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    _stashed.append(path)
+    if not keep:
+        _stashed.append(path)
     return path
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
+def stash(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, tag)
+    path = scratch_path(df.sparkSession, tag, keep)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

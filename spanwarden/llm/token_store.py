@@ -89,34 +89,79 @@ def unpack_block(data: bytes, at: int) -> tuple[np.ndarray, int]:
     return values + np.uint32(least), at + 6 * odd
 
 
+def _byte_alphabet() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return dict(zip(plain, plain, strict=True)) | {b: 256 + i for i, b in enumerate(rest)}
+
+
+class _Memo(dict):
+    """String -> ids, filled by `make`. Two generations: what is asked for again moves on when the older one is dropped."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Encodes texts with a `tokenizers` file, remembering the ids of space-separated chunks.
 
     The byte-level pre-tokeniser always starts a new piece at a space between two other characters, so a text may be cut there
     without changing its ids. Texts that hold an added token, or control characters on whose class libraries differ, go to the library whole.
-    The memo has two generations, so that frequent chunks stay when rare ones are dropped, and a bounded size.
+    A chunk of plain letters and one run of plain marks is two pieces to the pre-tokeniser, and so is remembered as two.
     """
 
-    LIMIT = 150_000
+    LIMIT = 300_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.rare = re.compile(r"[\x00-\x09\x0b-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
         self.unclear = re.compile(r"[\x1c-\x1f\x85\u180e\u200b]")
         self.odd = re.compile(r"(?<!\S) | (?!\S)")
         self.cut = re.compile(r"(?<=\S) (?=\S)")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def chunks(self, text: str) -> list[str] | None:
-        """The chunks of a text in order, or None where the library has to see the whole text."""
+        self.marked = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?$%&*#|]*)")
+        self.alphabet = {b: chr(c) for b, c in _byte_alphabet().items()}
+        self.pieces = _Memo(self._piece, self.LIMIT)
+        self.chunks = _Memo(self._chunk, self.LIMIT)
+
+    def library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Of what the pre-tokeniser leaves in one piece: straight to the library's model, in the byte-level alphabet."""
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
+        return struct.pack("<%dI" % len(tokens), *[t.id for t in tokens])
+
+    def _word(self, space: str, word: str) -> bytes:
+        if found := self.marked.fullmatch(word):
+            return self.pieces[space + found[1]] + self.pieces[found[2]] if found[2] else self.pieces[space + word]
+        return self.library(space + word)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Of a space and then the chunk. A line feed between two other characters is a piece of its own."""
+        if "\n" in chunk and "" not in (lines := chunk.split("\n")) and not self.rare.search(chunk):
+            feed = self.pieces["\n"]
+            return feed.join([self._word(" ", lines[0]), *[self._word("", line) for line in lines[1:]]])
+        return self._word(" ", chunk)
+
+    def split(self, text: str) -> list[str] | None:
+        """The text cut at spaces, or None where the library has to see the whole text."""
         if any(t in text for t in self.added):
             return None
         odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
@@ -124,22 +169,18 @@ class Encoder:
             if self.unclear.search(text):
                 return None
             odd = odd or self.odd.search(text)
-        parts = self.cut.split(text) if odd else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        return self.cut.split(text) if odd else text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        cut = [self.chunks(t) for t in texts]
-        if len(self.young) > self.LIMIT:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = {c for parts in cut if parts for c in parts}.difference(young)
-        for c in old.keys() & new:
-            young[c] = old[c]
-        missing = [c for c in new if c not in old]
-        for at in range(0, len(missing), 5_000):
-            young.update(zip(missing[at : at + 5_000], self._library(missing[at : at + 5_000]), strict=True))
-        return [b"".join([young[c] for c in parts]) if parts is not None else self._library([t])[0] for parts, t in zip(cut, texts, strict=True)]
+        out = []
+        for text in texts:
+            parts = self.split(text)
+            if parts is None:
+                out.append(self.library(text))
+            else:
+                out.append(b"".join([self.library(parts[0]) if parts[0] else b"", *map(self.chunks.__getitem__, parts[1:])]))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

@@ -20,7 +20,7 @@ def test_blocks_round_trip(values, percentile):
     assert got == values
 
 
-@pytest.mark.parametrize("text", ["", " ", "a  b", "don 't stop's", " lead and trail ", "x\n y \n\n z\t q", "é ñ ß|| ## <|endoftext|> end", "　wide nb sp", "12 345 a1 \x1f b"])
+@pytest.mark.parametrize("text", ["", " ", "a  b", "don 't stop's", " lead and trail ", "x\n y \n\n z\t q", "é ñ ß|| ## <|endoftext|> end", "　wide nb sp", "12 345 a1 \x1f b", "a.\nB c,\nd\n\ne\r\nf \ng\n h", "x\n"])
 def test_chunks_give_the_library_ids(text):
     encoder = ts.Encoder(PATH)
     for _ in range(2):
