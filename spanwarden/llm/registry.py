@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, near_dedup, packing, quality_rules, suffix_dedup, token_store, unigram, weak_labels
+from . import exact_dedup, near_dedup, packing, passage_dedup, quality_rules, suffix_dedup, token_store, unigram, weak_labels
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_repeated_passages": passage_dedup.op2_repeated_passages,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_near_duplicates": near_dedup.op5_near_duplicates,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
