@@ -140,7 +140,7 @@ def sample_events(spark, d) -> DataFrame:
         F.lit("mask").alias("action"), entity.alias("entity"), F.concat(F.lit("tool:"), "event_type", F.lit(":in")).alias("boundary_key"), F.when(F.col("event_id") % 2 == 0, "tool").otherwise("model").alias("boundary_kind"),
         F.concat(F.lit("agent"), F.col("user_id") % 5).alias("agent"), F.concat(F.lit("boundaries."), "event_type", F.lit(".entities"),).alias("rule"), F.lit("").alias("path"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.sha2(F.col("user_id").cast("string"), 256).alias("content_hash"), F.lit(None).cast("string").alias("applied_as"),
     ).cast(DECISION)
-    return e.select(F.concat(F.lit("env"), F.col("user_id") % 4).alias("env_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"), F.lit("check").alias("type"), F.concat(F.lit("w"), "user_id").alias("workflow_id"), F.unix_millis("ts").alias("ts_ms"), F.array(one).alias("decisions"))
+    return e.select(F.concat(F.lit("env"), F.col("user_id") % 4).alias("env_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"), F.lit("check").alias("type"), F.concat(F.lit("w"), "user_id").alias("workflow_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.array(one).alias("decisions"))
 
 
 def _page(q):

@@ -14,7 +14,6 @@ from ..operators import chat as ch
 
 MASTER = b"an example key of thirty-two byte"[:32]
 MODEL = {"kind": "model", "provider": "openai/gpt-4o"}
-GLYPH = r"[^\x00-\x7F]"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -64,8 +63,8 @@ WHERE regexp_full_match(value, '(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.
 AND NOT regexp_matches(value, '^(0|10|127|22[4-9]|2[3-5][0-9])\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^192\.168\.|^169\.254\.|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|^192\.0\.2\.|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\.')
 """
 CARD_SQL = r"""
-SELECT {k}, value FROM (SELECT {k}, trim(unnest(regexp_extract_all({c}, '[0-9.](?:[ -]?[0-9.])*')), '') AS value FROM {t})
-WHERE regexp_full_match(value, '[0-9](?:[ -]?[0-9]){{12,18}}') AND list_sum([
+SELECT {k}, value FROM (SELECT {k}, unnest(regexp_extract_all({c}, '(?:^|[^0-9.])([0-9](?:[ -]?[0-9]){{12,18}})(?:[^0-9.]|$)', 1)) AS value FROM {t})
+WHERE list_sum([
   CASE WHEN (length(regexp_replace(value, '[^0-9]', '', 'g')) - i) % 2 = 0 THEN regexp_replace(value, '[^0-9]', '', 'g')[i]::INT
        WHEN regexp_replace(value, '[^0-9]', '', 'g')[i]::INT > 4 THEN 2 * regexp_replace(value, '[^0-9]', '', 'g')[i]::INT - 9
        ELSE 2 * regexp_replace(value, '[^0-9]', '', 'g')[i]::INT END
