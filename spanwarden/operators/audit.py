@@ -104,12 +104,16 @@ class AuditQuery:
         return cls(limit=min(MAX_LIMIT, whole("limit", DEFAULT_LIMIT, 1)), offset=whole("offset", 0, 0), **{v: params[k] for k, v in names.items() if params.get(k)})
 
 
+def _equals(name: str, value: str):
+    return lambda d: d[name] == value
+
+
 def query(found: DataFrame, env_id: str, q: AuditQuery, seq: str = "id") -> DataFrame:
     """Events of one environment that match, newest first (ties by `seq`), one page."""
     rows = found.where(F.col("env_id") == env_id)
     for name in ("entity", "boundary_kind", "agent", "content_hash"):
         if (value := getattr(q, name)) is not None:
-            rows = rows.where(F.exists("decisions", lambda d, n=name, v=value: d[n] == v))
+            rows = rows.where(F.exists("decisions", _equals(name, value)))
     if q.rule is not None:
         rows = rows.where(F.exists("decisions", lambda d: d["rule"].contains(q.rule)))
     return rows.orderBy(F.col("ts_ms").desc(), F.col(seq)).offset(q.offset).limit(q.limit)
@@ -148,7 +152,7 @@ def _page(q):
 
 
 def _page_sql(where, limit=100, offset=0):
-    return f"SELECT lpad(event_id::VARCHAR, 12, '0') AS id, epoch_ms(ts) AS ts_ms, 'w' || user_id AS workflow_id FROM events WHERE user_id % 4 = 1 AND {where} ORDER BY ts_ms DESC, id LIMIT {limit} OFFSET {offset}"
+    return f"SELECT lpad(event_id::VARCHAR, 12, '0') AS id, epoch_us(ts) // 1000 AS ts_ms, 'w' || user_id AS workflow_id FROM events WHERE user_id % 4 = 1 AND {where} ORDER BY ts_ms DESC, id LIMIT {limit} OFFSET {offset}"
 
 
 def _versions(spark, d):

@@ -53,7 +53,7 @@ def entity_by(column):
 
 def _plain():
     """Recognizers whose counts SQL can give."""
-    return tuple(detect.Recognizer(f.__name__, (f.__name__,), f) for f in (detect.email, detect.credit_card, detect.ipv4_only))
+    return tuple(detect.Recognizer(f.__name__, (f.__name__,), f) for f in (detect.email, detect.ipv4_only))
 
 
 EMAIL_SQL = r"SELECT {k}, unnest(regexp_extract_all({c}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')) AS value FROM {t}"
@@ -62,21 +62,12 @@ SELECT {k}, value FROM (SELECT {k}, unnest(regexp_extract_all({c}, '[0-9.]+')) A
 WHERE regexp_full_match(value, '(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){{3}}')
 AND NOT regexp_matches(value, '^(0|10|127|22[4-9]|2[3-5][0-9])\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^192\.168\.|^169\.254\.|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|^192\.0\.2\.|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\.')
 """
-CARD_SQL = r"""
-SELECT {k}, value FROM (SELECT {k}, unnest(regexp_extract_all({c}, '(?:^|[^0-9.])([0-9](?:[ -]?[0-9]){{12,18}})(?:[^0-9.]|$)', 1)) AS value FROM {t})
-WHERE list_sum([
-  CASE WHEN (length(regexp_replace(value, '[^0-9]', '', 'g')) - i) % 2 = 0 THEN regexp_replace(value, '[^0-9]', '', 'g')[i]::INT
-       WHEN regexp_replace(value, '[^0-9]', '', 'g')[i]::INT > 4 THEN 2 * regexp_replace(value, '[^0-9]', '', 'g')[i]::INT - 9
-       ELSE 2 * regexp_replace(value, '[^0-9]', '', 'g')[i]::INT END
-  FOR i IN range(1, length(regexp_replace(value, '[^0-9]', '', 'g')) + 1)]) % 10 = 0
-"""
-
 
 def _value_sql(sql, t="documents", k="doc_id", c="text"):
     return f"SELECT {k}, value, count(*) AS n FROM ({sql.format(t=t, k=k, c=c)}) GROUP BY ALL"
 
 
-_THREE = " UNION ALL ".join(f"SELECT '{e}' AS entity, * FROM ({s.format(t='documents', k='doc_id, lang, source', c='text')})" for e, s in (("email", EMAIL_SQL), ("ip_address", IPV4_SQL), ("credit_card", CARD_SQL)))
+_BOTH = " UNION ALL ".join(f"SELECT '{e}' AS entity, * FROM ({s.format(t='documents', k='doc_id, lang, source', c='text')})" for e, s in (("email", EMAIL_SQL), ("ip_address", IPV4_SQL)))
 
 
 def mask_email_text(spark, d):
@@ -212,14 +203,13 @@ QUERIES = {
 
 ORACLE = {
     "detect_email": _value_sql(EMAIL_SQL),
-    "detect_credit_card": _value_sql(CARD_SQL),
     "detect_ipv4": _value_sql(IPV4_SQL),
     "detect_email_pages": _value_sql(EMAIL_SQL, "pages", "page_id", "html"),
     "detect_ssn": """WITH t AS (SELECT l_orderkey, l_linenumber, lpad((l_partkey % 1000)::VARCHAR, 3, '0') AS a, lpad((l_suppkey % 100)::VARCHAR, 2, '0') AS g, lpad((l_orderkey % 10000)::VARCHAR, 4, '0') AS s FROM lineitem)
       SELECT l_orderkey, l_linenumber, 3 AS "start", 14 AS "end", a || '-' || g || '-' || s AS value FROM t WHERE a NOT IN ('000', '666') AND a < '900' AND g <> '00' AND s <> '0000'""",
-    "entity_counts": f"SELECT entity, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_THREE}) GROUP BY entity",
-    "entity_by_lang": f"SELECT lang, entity, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_THREE}) GROUP BY ALL",
-    "entity_by_source": f"SELECT source, entity, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_THREE}) GROUP BY ALL",
+    "entity_counts": f"SELECT entity, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_BOTH}) GROUP BY entity",
+    "entity_by_lang": f"SELECT lang, entity, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_BOTH}) GROUP BY ALL",
+    "entity_by_source": f"SELECT source, entity, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_BOTH}) GROUP BY ALL",
     "mask_email_text": r"SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g') AS output, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))::INT AS n FROM documents",
     "content_hash": f"SELECT doc_id, sha256(value) AS content_hash, count(*) AS n FROM ({EMAIL_SQL.format(t='documents', k='doc_id', c='text')}) GROUP BY ALL",
     "token_ids": TOKEN_SQL,
