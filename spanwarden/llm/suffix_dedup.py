@@ -8,10 +8,12 @@ share a bucket, and neighbouring suffixes mostly do too: a bucket gets runs of s
 whose hash occurs once in the corpus hold no repeat and are left out; they are counted with map-side sums. Within a task, buckets
 are sorted a block of bounded size at a time: suffixes are ordered by their first V bytes, and ties are resolved by
 the ranks of suffixes at a difference cover modulo V, computed before by doubling; for any two suffixes there is an offset below V at which
-both have a rank, so a tie of any length costs one look-up. Neighbours in the order that agree on LENGTH bytes are repeats.
+both have a rank, so a tie of any length costs one look-up. Neighbours in the order that agree on LENGTH bytes (a 64-bit hash
+of them, and a sample of the bytes themselves) are repeats.
 
 Equal runs are collapsed before they are shuffled, and a bucket with over HOT_RUNS different runs (a passage met in a great many contexts) is not
-sorted in one task: its strings are counted one by one under 128-bit digests, with map-side sums. No task gets a group without a bound.
+sorted in one task: its runs are cut into pieces, dealt again by the bytes that all strings of a piece share, level by level down to single strings, which
+agree if they are equal. No task gets a group without a bound.
 
 Defined cases: a null text is an empty one; texts shorter than LENGTH lose nothing; rows repeated as a whole are occurrences
 of each other's strings; a null id is an id like any other; an empty table gives no rows; other columns are carried by `strip_rows`, whatever their names. A
@@ -32,11 +34,13 @@ from .common import documents, mix64, partitions, stash
 
 LENGTH = 400
 K = 16
-V = 31
-#: A perfect difference set modulo 31: every residue is a difference of two of them.
-COVER = (1, 5, 11, 24, 25, 27)
+V = 13
+#: A perfect difference set modulo 13: every residue is a difference of two of them.
+COVER = (0, 1, 3, 9)
 BLOCK_BYTES = 2 << 20
 HOT_RUNS = 2_000
+#: Starts in the pieces that hot buckets' runs are cut into, level by level; pieces of one start in one bucket are all equal.
+STEPS = (32, 4, 1, 1)
 _CHUNK = 1 << 25
 _MASK = np.uint64((1 << 26) - 1)
 
@@ -58,13 +62,13 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs(data: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, number of starts, bucket) of each run of neighbouring suffixes with the same smallest k-byte string.
+def runs(data: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, number of starts, bucket, how far the smallest string lies behind the first start) of each run of neighbouring suffixes with the same smallest k-byte string.
 
     Only suffixes with at least `length` bytes are dealt. Which string is smallest depends on the suffix's first `length` bytes alone: the least truncated hash, then
     the leftmost.
     """
-    firsts, counts, buckets = [], [], []
+    firsts, counts, buckets, leads = [], [], [], []
     for at in range(0, len(data) - length + 1, _CHUNK):
         part = np.frombuffer(data, np.uint8, min(len(data) - at, _CHUNK + length - 1), at)
         padded = np.zeros(len(part) + 16, np.uint8)
@@ -81,9 +85,10 @@ def runs(data: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.
         firsts.append(first + at)
         counts.append(np.diff(first, append=len(anchor)))
         buckets.append(hashes[anchor[first]])
+        leads.append(anchor[first] - first)
     if not firsts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(firsts), np.concatenate(counts), np.concatenate(buckets)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(firsts), np.concatenate(counts), np.concatenate(buckets), np.concatenate(leads)
 
 
 def cover_ranks(text: np.ndarray, v: int = V, cover: tuple[int, ...] = COVER) -> np.ndarray:
@@ -126,17 +131,14 @@ def cover_ranks(text: np.ndarray, v: int = V, cover: tuple[int, ...] = COVER) ->
         reach *= 2
 
 
-def _offsets(v: int, cover: tuple[int, ...]) -> np.ndarray:
-    """table[a, b]: the least d with (a + d) and (b + d) both in the cover modulo v."""
-    inside = {c % v for c in cover}
-    return np.array([[next(d for d in range(v) if (a + d) % v in inside and (b + d) % v in inside) for b in range(v)] for a in range(v)])
-
-
-_TABLE = _offsets(V, COVER)
+#: The least offset that leads each residue modulo V into the cover.
+_SHIFT = np.array([next(d for d in range(V) if (r + d) % V in COVER) for r in range(V)])
 
 
 def suffix_order(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """`starts` in the order of their suffixes. `text` ends in at least 4 V zeros."""
+    """`starts` by their suffixes' first V bytes, then by residue modulo V, then by the rest: suffixes that agree on any length of V or more are
+    neighbours if they have the same residue. `text` ends in at least 4 V zeros.
+    """
     ranks = cover_ranks(text)
     words = _words(text)
     order = np.argsort(words[starts].byteswap(), kind="stable")
@@ -157,76 +159,56 @@ def suffix_order(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
         same = np.zeros(len(own), bool)
         same[1:] = (group[1:] == group[:-1]) & (key[1:] == key[:-1])
         tied[own] = same
-    return _break_ties(starts, tied, ranks)
-
-
-def _break_ties(starts: np.ndarray, tied: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Order each run of suffixes that agree on V bytes, by ranks at an offset where both of a pair have one."""
-    lead = np.flatnonzero(~tied[:-1])
-    sizes = np.diff(lead, append=len(starts))
-    for size in np.unique(sizes[sizes > 1]).tolist():
-        first = lead[sizes == size]
-        rows = starts[first[:, None] + np.arange(size)]
-        if size <= 24:
-            before = np.zeros(rows.shape, np.int64)
-            for i in range(size):
-                for j in range(i + 1, size):
-                    d = _TABLE[rows[:, i] % V, rows[:, j] % V]
-                    later = ranks[rows[:, i] + d] > ranks[rows[:, j] + d]
-                    before[:, i] += later
-                    before[:, j] += ~later
-            out = np.empty_like(rows)
-            np.put_along_axis(out, before, rows, axis=1)
-        else:
-            out = np.stack([_merge_sort(row, ranks) for row in rows])
-        starts[first[:, None] + np.arange(size)] = out
+    # What still agrees is ordered by residue modulo V, and within one by the ranks at the first offset that leads into the cover.
+    own = np.flatnonzero(tied[:-1] | tied[1:])
+    if len(own):
+        group = np.cumsum(~tied[:-1])[own]
+        residue = starts[own] % V
+        starts[own] = starts[own][np.lexsort((ranks[starts[own] + _SHIFT[residue]], residue, group))]
     return starts
 
 
-def _merge_sort(row: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Suffixes of one residue modulo V share every offset, so each residue is sorted by its ranks; the residues are merged pairwise."""
-    parts = []
-    for residue in np.unique(row % V).tolist():
-        own = row[row % V == residue]
-        parts.append(own[np.argsort(ranks[own + _TABLE[residue, residue]], kind="stable")])
-    while len(parts) > 1:
-        parts = [_merge(parts[i], parts[i + 1], ranks) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0]
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0xD1342543DE82EF95
 
 
-def _merge(a: np.ndarray, b: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Place each of `b` in `a`, all at once, by binary search under the look-up order."""
-    low, high = np.zeros(len(b), np.int64), np.full(len(b), len(a), np.int64)
-    while True:
-        open_ = np.flatnonzero(low < high)
-        if not len(open_):
-            return np.insert(a, low, b)
-        mid = (low[open_] + high[open_]) // 2
-        x, y = a[mid], b[open_]
-        d = _TABLE[x % V, y % V]
-        right = ranks[x + d] <= ranks[y + d]
-        low[open_] = np.where(right, mid + 1, low[open_])
-        high[open_] = np.where(right, high[open_], mid)
-
-
-def repeated_starts(strings: list[bytes], starts: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each string, which of its first `starts` suffixes agree on `length` bytes with another suffix of the block."""
-    text = np.frombuffer(b"".join(strings) + bytes(length + 4 * V + 16), np.uint8)
-    sizes = np.array([len(s) for s in strings])
-    origin = np.cumsum(sizes) - sizes
+def _window_hashes(text: np.ndarray, length: int) -> np.ndarray:
+    """64-bit polynomial hashes, over bytes replaced by random numbers, of the `length` bytes at each position that has so many."""
+    power = np.full(len(text), _BASE, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    inverse = np.full(len(text), pow(_BASE, -1, 2**64), np.uint64)
+    inverse[0] = 1
+    inverse = np.multiply.accumulate(inverse)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[text] * power)])
+    return (total[length:] - total[:-length]) * inverse[: len(text) - length + 1]
+
+
+def repeated_starts(strings: list[bytes], starts: list[int], leads: list[int], length: int = LENGTH) -> list[np.ndarray]:
+    """For each string, which of its first `starts` suffixes agree on `length` bytes with another suffix of the block.
+
+    `leads` are the places of the strings' smallest k-byte strings. Padding puts them all at multiples of V, so that suffixes that agree have the same residue.
+    """
+    parts, origin, at = [], [], 0
+    for s, lead in zip(strings, leads, strict=True):
+        pad = -(at + lead) % V
+        parts += [bytes(pad), s]
+        origin.append(at + pad)
+        at += pad + len(s)
+    text = np.frombuffer(b"".join(parts) + bytes(length + 4 * V + 16), np.uint8)
+    origin = np.array(origin)
     counts = np.array(starts)
     total = int(counts.sum())
     base = np.cumsum(counts) - counts
     at = np.repeat(origin - base, counts) + np.arange(total)
     order = suffix_order(text, at.copy())
     a, b = order[:-1], order[1:]
-    alive = np.arange(len(a))
+    marks = _window_hashes(text, length)
+    alive = np.flatnonzero(marks[a] == marks[b])
+    # The bytes are looked at as well, in eights spread over the string.
     words = _words(text)
-    for offset in [*range(0, length - 7, 8), length - 8] if length >= 8 else []:
+    for offset in range(0, length - 7, 8 * max(1, length // 64)) if length >= 8 else ():
         alive = alive[words[a[alive] + offset] == words[b[alive] + offset]]
-    if length < 8:
-        for offset in range(length):
-            alive = alive[text[a[alive] + offset] == text[b[alive] + offset]]
     found = np.zeros(len(text), bool)
     found[a[alive]] = True
     found[b[alive]] = True
@@ -285,13 +267,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             out: list[tuple] = []
             for k1, k2, data, own in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("data").to_pylist(), batch.column("buckets"), strict=True):
-                first, count, bucket = runs(data, length, k)
+                first, count, bucket, lead = runs(data, length, k)
                 bucket = bucket.view(np.int64)
                 for i in np.flatnonzero(np.isin(bucket, own.values.to_numpy())).tolist():
                     f, n = int(first[i]), int(count[i])
                     run = data[f : f + n + length - 1]
                     digest = hashlib.blake2b(run, digest_size=16).digest()
-                    out.append((k1, k2, f, n, int(bucket[i]), digest, None if digest in seen else run))
+                    out.append((k1, k2, f, n, int(lead[i]), int(bucket[i]), digest, None if digest in seen else run))
                     seen.add(digest)
                 if len(out) > 20_000:
                     yield _cut_batch(out)
@@ -299,71 +281,110 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if out:
                 yield _cut_batch(out)
 
-    cuts = stash(keyed.join(wanted, ["k1", "k2"]).mapInArrow(cut, "k1 long, k2 long, first long, n int, bucket long, digest binary, run binary"), "suffix-runs")
+    cuts = stash(keyed.join(wanted, ["k1", "k2"]).mapInArrow(cut, "k1 long, k2 long, first long, n int, lead int, bucket long, digest binary, run binary"), "suffix-runs")
     # Equal runs within a task were sent once; `bucket` and digest tell how many different ones remain, and how often each occurs.
     times = cuts.groupBy("bucket", "digest").agg(F.count(F.lit(1)).alias("times"))
-    hot = times.groupBy("bucket").agg(F.count(F.lit(1)).alias("different")).where(F.col("different") > hot_runs).select("bucket", F.lit(True).alias("hot"))
-    texts = cuts.where("run IS NOT NULL").select("bucket", "digest", "n", "run").join(hot, "bucket", "left")
+    level = cuts.where("run IS NOT NULL").select("bucket", "digest", "n", "lead", "run")
+    partial, root = None, None  # root: a piece's digest -> the run that it is cut from, and where
+    parts = partitions(docs.sparkSession)
+    for step in STEPS:
+        hot = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.approx_count_distinct("digest").alias("d")).where(F.col("d") > hot_runs).select("bucket", F.lit(True).alias("hot"))
+        hot = stash(hot, "hot-buckets")
+        dealt = level.join(hot, "bucket", "left")
+        found = dealt.where("hot IS NULL").select("bucket", "digest", "n", "lead", "run").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_blocks(length), "digest binary, ranges binary")
+        if root is not None:
+            whole_pieces = root.groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")).where("c > 1").select("digest", "n")
+            found = found.unionByName(whole_pieces.mapInArrow(_all_starts, "digest binary, ranges binary"))
+            found = found.join(root.select("digest", "run_digest", "offset"), "digest").select(F.col("run_digest").alias("digest"), "offset", "ranges")
+        else:
+            found = found.select("digest", F.lit(0).alias("offset"), "ranges")
+        partial = found if partial is None else partial.unionByName(found)
+        if hot.isEmpty():
+            break
+        pieces = stash(dealt.where("hot").select("digest", "n", "lead", "run").dropDuplicates(["digest"]).mapInArrow(_cut_pieces(step, length), "parent binary, offset int, bucket long, digest binary, n int, lead int, run binary"), "suffix-pieces")
+        above = root
+        root = pieces.select("digest", "n", F.col("parent").alias("run_digest"), "offset")
+        if above is not None:
+            up = above.select(F.col("digest").alias("run_digest"), F.col("run_digest").alias("_top"), F.col("offset").alias("_more"))
+            root = root.join(up, "run_digest").select("digest", "n", F.col("_top").alias("run_digest"), (F.col("offset") + F.col("_more")).alias("offset"))
+        level = pieces.where("run IS NOT NULL").select("bucket", "digest", "n", "lead", "run")
+    # A run that occurs twice as a whole is repeated at all its starts.
+    whole = times.where("times > 1").select("digest", F.lit(True).alias("whole"))
+    places = cuts.select("k1", "k2", "first", "n", "digest")
+    spans = places.join(whole.distinct(), "digest", "left").join(partial, "digest", "left").where("whole OR ranges IS NOT NULL")
+    at = F.when(F.col("whole"), F.col("first")).otherwise(F.col("first") + F.col("offset"))
+    return spans.select("k1", "k2", F.struct(at.alias("first"), F.when(F.col("whole"), F.col("n")).alias("n"), F.when(F.col("whole").isNull(), F.col("ranges")).alias("ranges")).alias("span")).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
-    def sort_blocks(batches):
-        def finish(block: dict) -> pa.RecordBatch | None:
-            flags = repeated_starts([x[0] for x in block.values()], [x[1] for x in block.values()], length)
-            rows = [(d, _ranges(f)) for d, f in zip(block, flags, strict=True) if f.any()]
-            if rows:
-                return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["digest", "ranges"])
-            return None
 
-        block: dict[bytes, tuple[bytes, int]] = {}
+def _sort_blocks(length: int):
+    """Buckets come next to each other; a block takes whole buckets until it has BLOCK_BYTES."""
+
+    def finish(block: dict) -> pa.RecordBatch | None:
+        flags = repeated_starts(*(list(x) for x in zip(*block.values(), strict=True)), length)
+        rows = [(d, _ranges(f)) for d, f in zip(block, flags, strict=True) if f.any()]
+        if rows:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["digest", "ranges"])
+        return None
+
+    def run(batches):
+        block: dict[bytes, tuple[bytes, int, int]] = {}
         size, last = 0, None
         for batch in batches:
-            for bucket, digest, n, run in zip(*(batch.column(c).to_pylist() for c in ("bucket", "digest", "n", "run")), strict=True):
+            for bucket, digest, n, lead, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "digest", "n", "lead", "run")), strict=True):
                 if bucket != last and size > BLOCK_BYTES:
                     if (out := finish(block)) is not None:
                         yield out
                     block, size = {}, 0
                 last = bucket
                 if digest not in block:
-                    block[digest] = run, n
-                    size += len(run)
+                    block[digest] = text, n, lead
+                    size += len(text)
         if block and (out := finish(block)) is not None:
             yield out
 
-    parts = partitions(docs.sparkSession)
-    within = texts.where("hot IS NULL").select("bucket", "digest", "n", "run").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(sort_blocks, "digest binary, ranges binary")
+    return run
 
-    def strings(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                rows = []
-                for digest, n, run in zip(*(part.column(c).to_pylist() for c in ("digest", "n", "run")), strict=True):
-                    rows += [(digest, i, hashlib.blake2b(run[i : i + length], digest_size=16).digest()) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["digest", "at", "string"])
 
-    single = texts.where("hot").select("digest", "n", "run").mapInArrow(strings, "digest binary, at int, string binary").groupBy("digest", "at", "string").agg(F.lit(1))
-    repeats = single.groupBy("string").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("string")
+def _all_starts(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([np.array([0, n], "<i4").tobytes() for n in batch.column("n").to_pylist()], pa.binary())], names=["digest", "ranges"])
 
-    def to_ranges(batches):
+
+def _cut_pieces(step: int, length: int):
+    """Cut runs into pieces of up to `step` starts at fixed distances before the smallest string. A piece's bucket is a hash of the bytes that all strings
+    starting in it share, so strings that agree stay together, and runs that share less than that are parted.
+    """
+
+    def run(batches):
+        import xxhash
+
+        seen: set[bytes] = set()
         for batch in batches:
-            out = []
-            for at in batch.column("ats"):
-                flags = np.zeros(int(at.values.to_numpy().max()) + 1, bool)
-                flags[at.values.to_numpy()] = True
-                out.append(_ranges(flags))
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(out, pa.binary())], names=["digest", "ranges"])
-
-    apart = single.join(repeats, "string").groupBy("digest").agg(F.collect_set("at").alias("ats")).mapInArrow(to_ranges, "digest binary, ranges binary")
-    partial = within.unionByName(apart)
-    # A run that occurs twice as a whole is repeated at all its starts.
-    whole = times.where("times > 1").select("digest", F.lit(True).alias("whole"))
-    places = cuts.select("k1", "k2", "first", "n", "digest")
-    spans = places.join(whole.distinct(), "digest", "left").join(partial.groupBy("digest").agg(F.max("ranges").alias("ranges")), "digest", "left").where("whole OR ranges IS NOT NULL")
-    return spans.select("k1", "k2", F.struct("first", F.when(F.col("whole"), F.col("n")).alias("n"), F.when(F.col("whole").isNull(), F.col("ranges")).alias("ranges")).alias("span")).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = []
+                for parent, n, lead, text in zip(*(part.column(c).to_pylist() for c in ("digest", "n", "lead", "run")), strict=True):
+                    start = 0
+                    while start < n:
+                        kind = (lead - start) // step
+                        end = min(n, lead - kind * step + 1)
+                        core = text[lead - kind * step : lead - kind * step - step + 1 + length]
+                        piece = text[start : end + length - 1]
+                        digest = hashlib.blake2b(piece + bytes([step]) + (lead - start).to_bytes(4, "little", signed=True), digest_size=16).digest()
+                        bucket = xxhash.xxh3_64_intdigest(core, seed=(kind * 64 + step) & (2**64 - 1))
+                        out.append((parent, start, bucket - (1 << 63), digest, end - start, lead - start, None if digest in seen else piece))
+                        seen.add(digest)
+                        start = end
+                kinds = [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+                cols = list(zip(*out, strict=True)) if out else [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["parent", "offset", "bucket", "digest", "n", "lead", "run"])
+
+    return run
 
 
 def _cut_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["k1", "k2", "first", "n", "bucket", "digest", "run"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["k1", "k2", "first", "n", "lead", "bucket", "digest", "run"])
 
 
 def _byte_spans(spans, length: int) -> np.ndarray:
