@@ -49,24 +49,24 @@ class DoubleArray:
         size = 1024
         base, check, value = [0] * size, [-1] * size, [-1] * size
         check[0] = 0
-        free, queue = 1, deque([(0, tree)])
+        free, many, queue = 1, 1, deque([(0, tree)])
         while queue:
             at, node = queue.popleft()
             value[at] = node.get(-1, -1)
             labels = sorted(c for c in node if c >= 0)
             if not labels:
                 continue
-            while check[free] >= 0:
-                free += 1
-                if free + 1 >= len(check):
-                    base, check, value = base + [0] * size, check + [-1] * size, value + [-1] * size
-            spot = max(free - labels[0] - 1, 0)
-            while True:
-                while spot + 258 >= len(check):
-                    base, check, value = base + [0] * size, check + [-1] * size, value + [-1] * size
-                if all(check[spot + c + 1] < 0 for c in labels):
-                    break
-                spot += 1
+            if len(check) - many < 2 * size or len(check) - free < 2 * size:
+                base, check, value = base + [0] * 4 * size, check + [-1] * 4 * size, value + [-1] * 4 * size
+            if len(labels) == 1:  # only children fill the holes
+                while check[free] >= 0 or free <= labels[0]:
+                    free += 1
+                spot = free - labels[0] - 1
+            else:  # families look on from where the last one found room
+                spot = many
+                while any(check[spot + c + 1] >= 0 for c in labels):
+                    spot += 1
+                many = max(many, spot - 128)
             base[at] = spot
             for c in labels:
                 check[spot + c + 1] = at
@@ -136,20 +136,29 @@ def viterbi(vocabulary: Vocabulary, word: str) -> tuple[list[int], float]:
     n = len(data)
     best, back = [-math.inf] * (n + 1), [(-1, -1)] * (n + 1)
     best[0] = 0.0
-    scores, prefixes, unknown = vocabulary.scores, vocabulary.trie.prefixes, vocabulary.unknown_score
+    scores, unknown, trie = vocabulary.scores, vocabulary.unknown_score, vocabulary.trie
+    base, check, value = trie.base, trie.check, trie.value
     for start in range(n):
         here = best[start]
         if here == -math.inf:
             continue
         lead = data[start]
-        width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-        whole = False
-        for end, piece in prefixes(data, start):
-            whole |= end == start + width
-            if here + scores[piece] > best[end]:
-                best[end], back[end] = here + scores[piece], (start, piece)
-        if not whole and here + unknown > best[start + width]:
-            best[start + width], back[start + width] = here + unknown, (start, -1)
+        next_char = start + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+        whole, node = False, 0
+        for end in range(start, n):  # walk the trie: every piece that begins here
+            child = base[node] + data[end] + 1
+            if check[child] != node:
+                break
+            node = child
+            piece = value[node]
+            if piece >= 0:
+                total = here + scores[piece]
+                if end + 1 == next_char:
+                    whole = True
+                if total > best[end + 1]:
+                    best[end + 1], back[end + 1] = total, (start, piece)
+        if not whole and here + unknown > best[next_char]:
+            best[next_char], back[next_char] = here + unknown, (start, -1)
     ids: list[int] = []
     at = n
     while at:
@@ -164,24 +173,32 @@ def viterbi(vocabulary: Vocabulary, word: str) -> tuple[list[int], float]:
 
 
 class Codec:
-    """Encodes and decodes texts; remembers words up to LIMIT."""
+    """Encodes and decodes texts; remembers words, in two generations of up to LIMIT, so that frequent ones stay."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.cut = re.compile(f"(?<=[^{MARK}])(?={MARK})")
         self.known: dict[str, tuple[bytes, float]] = {}
+        self.old: dict[str, tuple[bytes, float]] = {}
+
+    @classmethod
+    def of(cls, vocabulary: Vocabulary) -> Codec:
+        """The vocabulary's codec in this process, so that tasks share what it remembers."""
+        if not hasattr(vocabulary, "_codec"):
+            vocabulary._codec = cls(vocabulary)
+        return vocabulary._codec
 
     def _word(self, word: str) -> tuple[bytes, float]:
-        found = self.known.get(word)
+        found = self.known.get(word) or self.old.get(word)
         if found is None:
             ids, score = viterbi(self.vocabulary, word)
             found = np.array(ids, "<u4").tobytes(), score
-            if len(word) <= 64:
-                if len(self.known) >= self.LIMIT:
-                    self.known.clear()
-                self.known[word] = found
+        if len(word) <= 64:
+            if len(self.known) >= self.LIMIT:
+                self.known, self.old = {}, self.known
+            self.known[word] = found
         return found
 
     def encode(self, text: str) -> tuple[bytes, float]:
@@ -191,8 +208,7 @@ class Codec:
         marked = MARK + text.replace(" ", MARK)
         if not self.vocabulary.splits:
             return self._word(marked)
-        known, words = self.known, self.cut.split(marked)
-        parts = [known.get(w) or self._word(w) for w in words]
+        parts = [self.known.get(w) or self._word(w) for w in self.cut.split(marked)]
         return b"".join([p[0] for p in parts]), math.fsum([p[1] for p in parts])
 
     def decode(self, ids: bytes) -> str:
@@ -205,7 +221,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = Codec.of(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -225,7 +241,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     names = [c for c in encoded.columns if c != "text"]
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = Codec.of(shared.value)
         for batch in batches:
             text = [None if x is None else codec.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(text, pa.string())], names=[*names, "text"])
