@@ -246,7 +246,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             text = [None if x is None else codec.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(text, pa.string())], names=[*names, "text"])
 
-    schema = encoded.select(*[f"`{n}`" for n in names], F.lit("").alias("text")).schema
+    schema = encoded.select(*[f"`{n}`" for n in names], F.lit(None).cast("string").alias("text")).schema
     return encoded.select(*[f"`{n}`" for n in names]).mapInArrow(run, schema)
 
 
