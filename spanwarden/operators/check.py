@@ -151,5 +151,7 @@ def check_pair(df: DataFrame, args_col: str, result_col: str, tool: str, ctx: Co
 
 
 def decisions(checked: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a decision."""
-    return checked.select(*[F.col(f"`{k}`") for k in keys], F.explode("decisions").alias("d")).select(*keys, "d.*")
+    """One row a decision; fields that share a name with a key are left out."""
+    rows = checked.select(*[F.col(f"`{k}`") for k in keys], F.explode("decisions").alias("d"))
+    fields = [f.name for f in rows.schema["d"].dataType.fields if f.name not in keys]
+    return rows.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"d.{f}") for f in fields])

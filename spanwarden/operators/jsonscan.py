@@ -117,7 +117,7 @@ def check_json(df: DataFrame, json_col: str, keys: list[str], ctx: ck.Context) -
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, "output"])
 
     wide = joined.select(*[F.col(f"`{c}`") for c in names], F.coalesce("blocked", F.lit(False)).alias("blocked"), "block_entity", "block_rule", F.coalesce("decisions", F.array().cast(f"array<{ck.DECISION}>")).alias("decisions"), F.col(f"`{json_col}`").cast("string").alias("_json"), "_edits")
-    schema = wide.drop("_json", "_edits").withColumn("output", F.lit("")).schema
+    schema = wide.drop("_json", "_edits").withColumn("output", F.lit(None).cast("string")).schema
     return wide.mapInArrow(run, schema)
 
 
