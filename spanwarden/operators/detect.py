@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalogue as C
@@ -205,3 +205,15 @@ def entity_spans(df: DataFrame, text_col: str, keys: list[str], scan: Callable[[
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     found = df.select(*[F.col(f"`{k}`") for k in keys], F.explode(let(scan(text), lambda s: merge(s, text))).alias("s"))
     return found.select(*keys, "s.*")
+
+
+def merge_rows(found: DataFrame, keys: list[str], threshold: float = C.DEFAULT_THRESHOLD) -> DataFrame:
+    """The merge for spans that are rows already (keys, entity, start, end, confidence): gaps and islands by class.
+
+    One shuffle by keys and class; a group is one class's spans in one text.
+    """
+    order = Window.partitionBy(*keys, "entity").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    kept = found.where(F.col("confidence") >= threshold).withColumn("_new", F.when(before.isNull() | (F.col("start") >= before), 1).otherwise(0))
+    islands = kept.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(*keys, "entity", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("confidence").alias("confidence")).drop("_island")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens as K
 from ..operators import audit, check, detect, jsonscan, policy, restore, vault
 from ..operators import chat as ch
+from ..sources import files
 
 MASTER = b"an example key of thirty-two byte"[:32]
 MODEL = {"kind": "model", "provider": "openai/gpt-4o"}
@@ -178,7 +179,32 @@ def restore_roundtrip(spark, d):
     return back.select("doc_id", F.col("restored").alias("text"))
 
 
+def merge_spans_islands(spark, d):
+    """Spans made of events, a text for each user and a class for each event type, merged as rows."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    made = e.select(F.col("user_id").alias("doc"), F.col("event_type").alias("entity"), (F.col("event_id") % 200).alias("start"), (F.col("event_id") % 200 + 1 + F.col("event_id") % 17).alias("end"), ((F.col("event_id") % 10) / 10).alias("confidence"))
+    return detect.merge_rows(made, ["doc"])
+
+
+def scan_report(spark, d):
+    """Documents with an email address, under a policy that blocks them, as the file scan reports them."""
+    document = {"defaults": {"action": "allow"}, "entities": {"email": "block"}}
+    rows = _docs(spark, d).select(F.concat(F.lit("doc/"), "doc_id").alias("path"), "text")
+    hits = files.scan(rows, document, (detect.Recognizer("email", ("email",), detect.email),))
+    return files.report(hits).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def blocked_docs(spark, d):
+    """Documents that a policy blocks for an email address, with the rule."""
+    document = {"defaults": {"action": "allow"}, "boundaries": {"openai/*": {"entities": {"email": "block"}}}}
+    out = check.check(_docs(spark, d).select("doc_id", "text"), "text", check.Context(boundary=MODEL, policy=document, recognizers=(detect.Recognizer("email", ("email",), detect.email),)))
+    return out.where("blocked").select("doc_id", "block_entity", "block_rule", "block_message", F.col("output").isNull().alias("no_output"))
+
+
 QUERIES = {
+    "merge_spans_islands": merge_spans_islands,
+    "scan_report": scan_report,
+    "blocked_docs": blocked_docs,
     "check_default": flagship,
     "detect_email": _values(detect.email),
     "detect_phone": _values(detect.phone),
@@ -201,7 +227,14 @@ QUERIES = {
     "restore_roundtrip": restore_roundtrip,
 } | audit.QUERIES | jsonscan.QUERIES | ch.QUERIES
 
+_HAS_EMAIL = EMAIL_SQL.format(t="documents", k="doc_id", c="text")
 ORACLE = {
+    "merge_spans_islands": """WITH s AS (SELECT user_id AS doc, event_type AS entity, event_id % 200 AS s, event_id % 200 + 1 + event_id % 17 AS e, (event_id % 10) / 10 AS c FROM events WHERE (event_id % 10) / 10 >= 0.6),
+      p AS (SELECT *, max(e) OVER (PARTITION BY doc, entity ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM s),
+      i AS (SELECT *, sum(CASE WHEN b IS NULL OR s >= b THEN 1 ELSE 0 END) OVER (PARTITION BY doc, entity ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM p)
+      SELECT doc, entity, min(s) AS "start", max(e) AS "end", max(c) AS confidence FROM i GROUP BY doc, entity, g""",
+    "scan_report": f"SELECT 'doc/' || doc_id || ': blocked email (rule: entities.email)' AS value, count(*) AS n FROM ({_HAS_EMAIL}) GROUP BY doc_id",
+    "blocked_docs": f"SELECT DISTINCT doc_id, 'email' AS block_entity, 'boundaries.openai/*.entities.email' AS block_rule, 'Blocked by data policy: email may not be sent to openai/gpt-4o (rule: boundaries.openai/*.entities.email)' AS block_message, true AS no_output FROM ({_HAS_EMAIL})",
     "detect_email": _value_sql(EMAIL_SQL),
     "detect_ipv4": _value_sql(IPV4_SQL),
     "detect_email_pages": _value_sql(EMAIL_SQL, "pages", "page_id", "html"),
