@@ -190,25 +190,29 @@ class Codec:
             vocabulary._codec = cls(vocabulary)
         return vocabulary._codec
 
-    def _word(self, word: str) -> tuple[bytes, float]:
-        found = self.known.get(word) or self.old.get(word)
+    def _word(self, rest: str) -> tuple[bytes, float]:
+        """Of a mark and what follows it."""
+        found = self.known.get(rest) or self.old.get(rest)
         if found is None:
-            ids, score = viterbi(self.vocabulary, word)
+            ids, score = viterbi(self.vocabulary, MARK + rest)
             found = np.array(ids, "<u4").tobytes(), score
-        if len(word) <= 64:
+        if len(rest) <= 64:
             if len(self.known) >= self.LIMIT:
                 self.known, self.old = {}, self.known
-            self.known[word] = found
+            self.known[rest] = found
         return found
 
     def encode(self, text: str) -> tuple[bytes, float]:
         """Little-endian uint32 ids, and the sum of log scores."""
         if not text:
             return b"", 0.0
-        marked = MARK + text.replace(" ", MARK)
         if not self.vocabulary.splits:
-            return self._word(marked)
-        parts = [self.known.get(w) or self._word(w) for w in self.cut.split(marked)]
+            return self._word(text.replace(" ", MARK))
+        if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
+            words = [w[1:] for w in self.cut.split(MARK + text.replace(" ", MARK))]
+        else:
+            words = text.split(" ")
+        parts = [self.known.get(w) or self._word(w) for w in words]
         return b"".join([p[0] for p in parts]), math.fsum([p[1] for p in parts])
 
     def decode(self, ids: bytes) -> str:
