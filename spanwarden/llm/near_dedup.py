@@ -11,7 +11,7 @@ entry. Frequent values come last in that order and make entries only for texts t
 Lists are not expanded to all pairs. First each list's least member is compared with the others, which gathers groups of copies at one pair an
 entry. Then the members outside the largest group of a list still mixed take turns, in turns of doubling size, at being compared with
 the members of other groups, until all have had theirs: two texts that share a list and stay in different groups have been
-compared. A pair passes if the similarity estimated on the union's sketch is within SLACK of the threshold, and is then confirmed on the full
+compared. A pair passes if the similarity estimated on the union's sketch is at most six standard deviations below the threshold, and is then confirmed on the full
 sets, which are made anew for the texts that have candidates at all. Confirmed links join groups.
 
 Sketches of up to 0.8 K values lose no link; larger ones lose one with the chance that a sum of K draws falls six standard deviations low.
@@ -32,7 +32,6 @@ from .common import WordHashes, documents, shingle_hashes, stash
 
 K = 64
 HUBS = 24
-SLACK = 0.2
 SHINGLE, SIMILARITY = 5, (80, 100)
 
 
@@ -100,6 +99,8 @@ def components(edges: DataFrame) -> DataFrame:
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], k: int) -> DataFrame:
     """The pairs (a, b) whose sets have den * intersection >= num * union; the sketch estimate sorts most others out first."""
     num, den = similarity
+    ratio = num / den
+    lowest = ratio - 6 * (ratio * (1 - ratio) / k) ** 0.5
 
     def check(batches):
         for batch in batches:
@@ -108,7 +109,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], k: i
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 union = np.union1d(x[:k], y[:k])[:k]
                 shared = len(np.intersect1d(np.intersect1d(union, x[:k], assume_unique=True), y[:k], assume_unique=True))
-                if shared < (num / den - SLACK) * len(union):
+                if len(union) == k and shared < lowest * k:
                     keep.append(False)
                     continue
                 inter = len(np.intersect1d(x, y, assume_unique=True))

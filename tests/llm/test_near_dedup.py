@@ -67,3 +67,13 @@ def test_rows_kept(docs):
     kept = nd.keep_rows(frame)
     assert kept.columns == frame.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 7, 8, 9]
     assert nd.keep_rows(docs([])).collect() == [] and nd.near_duplicates(docs([])).collect() == []
+
+
+def test_pairs_with_a_low_estimate_are_still_compared(spark):
+    shared, rest = np.arange(37), np.arange(37, 64)  # 37 of the 64 least values are shared: 0.58, over four deviations below 0.8
+    common = np.concatenate([shared, np.arange(1000, 1000 + 75)])  # 112 of 139: 0.806
+    a, b = (np.sort(np.concatenate([common, rest[i::2]])).astype("<u8") for i in range(2))
+    sets = spark.createDataFrame([(1, len(a), bytearray(a.tobytes())), (2, len(b), bytearray(b.tobytes()))], "node long, size long, set binary")
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert [tuple(r) for r in nd._verify(pairs, sets, (80, 100), 64).collect()] == [(1, 2)]
+    assert nd._verify(pairs, sets, (81, 100), 64).collect() == []
