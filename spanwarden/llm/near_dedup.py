@@ -1,23 +1,25 @@
 """Near-duplicate detection by bottom-k sketches.
 
-A text's set is its distinct word shingles, hashed to 64 bits by one function. Its sketch is the K least hashes (the whole set if
+A text's set is its distinct word shingles, hashed to 64 bits by one function. Its sketch is the k least hashes (the whole set if
 that is smaller). Texts with equal sets are one class from the start, whatever their number.
 
-Candidates come from inverted lists of sketch values. Sets of the wanted similarity share at least `least_overlap` values of their sketches, so, with
-values ordered by how many sketches hold them, their first (held - least_overlap + 1) values have one in common (prefix filter). Values that
-one sketch alone holds are left out first, and a text without enough shared values has no partner and makes no
-entry. Frequent values come last in that order and make entries only for texts that hold little else.
+Candidates come from inverted lists of sketch values, in two steps. A coarse sketch (K) sorts out the texts that have no partner: sets of the wanted
+similarity share at least `least_overlap` values of their sketches, so a text with too many values that it alone holds has none. The others get a
+fine sketch (FINE). With values ordered by how many sketches hold them, the first (held - least_overlap + 1) values of two linked sets have one in common
+(prefix filter), and the first common one leaves each set enough values for the overlap that the two sizes ask for. So frequent values make entries only for
+texts that hold little else, and two texts of a list become a pair only if the values from there on allow the similarity.
 
-Lists are not expanded to all pairs. First each list's least member is compared with the others, which gathers groups of copies at one pair an
-entry. Then the members outside the largest group of a list still mixed take turns, in turns of doubling size, at being compared with
-the members of other groups, until all have had theirs: two texts that share a list and stay in different groups have been
-compared. A pair passes if the similarity estimated on the union's sketch is at most six standard deviations below the threshold, and is then confirmed on the full
-sets, which are made anew for the texts that have candidates at all. Confirmed links join groups.
+Lists are not expanded to all pairs. Each text is first compared with one leader, of those of its lists the one met most often; a list's leader is its text with
+the fewest values of its own, which in a group of copies is about the original. That gathers groups of copies at one pair a text. Then the members outside
+the largest group of a list still mixed take turns, in turns of doubling size, at being compared with the members of other groups, until all have had theirs:
+two texts that share a list and stay in different groups have been compared, or ruled out by their counts. A pair is sorted out if the similarity estimated on
+the union's sketch is over six standard deviations below the threshold, and is else confirmed on the full sets. Confirmed links join groups.
 
-Sketches of up to 0.8 K values lose no link; larger ones lose one with the chance that a sum of K draws falls six standard deviations low.
+Sketches that hold whole sets (in the fine step those of up to FINE * similarity values) lose no link; larger ones lose one with the chance that a sum of k draws, in either
+step or in the estimate, falls six standard deviations low.
 
 Defined cases: null and wordless texts have an empty set and are linked with nothing; fewer words than a shingle make one shingle of
-all; rows with the same set are linked; a null id is larger than any other; rows repeated as a whole stay or go together; an empty
+all; rows with the same set are linked; ids may be of any type that sorts; a null id is larger than any other; rows repeated as a whole stay or go together; an empty
 table gives no rows; other columns are kept by `keep_rows`, whatever their names.
 """
 
@@ -25,12 +27,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, documents, shingle_hashes, stash
 
-K = 64
+K, FINE = 64, 512
 HUBS = 24
 SHINGLE, SIMILARITY = 5, (80, 100)
 
@@ -38,12 +40,18 @@ SHINGLE, SIMILARITY = 5, (80, 100)
 def least_overlap(size: int, k: int, similarity: tuple[int, int]) -> int:
     """Values that the sketch of a set of this size shares with that of any linked set."""
     num, den = similarity
-    if size <= 0.8 * k:
+    if size * den <= num * k:  # a linked set has at most k values, so both sketches are whole
         return max(1, -(-num * size // den))
     ratio = num / den
     return max(1, int(k * ratio - 6 * (k * ratio * (1 - ratio)) ** 0.5))
 
 
+def _least(similarity: tuple[int, int], k: int) -> Column:
+    """`least_overlap` of the column size."""
+    num, den = similarity
+    return F.when(F.col("size") * den <= num * k, F.greatest(F.lit(1).cast("long"), F.ceil(F.col("size") * num / den))).otherwise(F.lit(least_overlap(den * k, k, similarity)).cast("long"))
+
+
 def _sets(batch, hashes: WordHashes, shingle: int) -> list[np.ndarray]:
     """Each text's set as sorted uint64. Only A-Z are lower-cased."""
     return [np.unique(shingle_hashes(hashes.of(d.lower().split()), shingle)) for d in batch.column("data").to_pylist()]
@@ -51,7 +59,7 @@ def _sets(batch, hashes: WordHashes, shingle: int) -> list[np.ndarray]:
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     data = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(data).alias("th"), data.alias("data"))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(data).alias("th"), data.alias("data"))
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, k: int = K) -> DataFrame:
@@ -74,7 +82,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                     names=["id", "th", "s1", "s2", "size", "sketch"],
                 )
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, th long, s1 long, s2 long, size long, sketch array<long>")
+    rows = _rows(docs, id_col, text_col)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, s1 long, s2 long, size long, sketch array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -105,8 +114,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], k: i
     def check(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            columns = []
+            for name in ("sa", "sb"):
+                lists = batch.column(name)
+                columns.append((lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()))
+            (xs, xo), (ys, yo) = columns
+            for i in range(batch.num_rows):
+                x, y = xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]
                 union = np.union1d(x[:k], y[:k])[:k]
                 shared = len(np.intersect1d(np.intersect1d(union, x[:k], assume_unique=True), y[:k], assume_unique=True))
                 if len(union) == k and shared < lowest * k:
@@ -116,36 +130,54 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], k: i
                 keep.append(den * inter >= num * (len(x) + len(y) - inter))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa"), F.col("size").alias("na")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb"), F.col("size").alias("nb")), "b")
-    near = two.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    return near.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    return two.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+
 
+def promising(classes: DataFrame, similarity: tuple[int, int], k: int) -> DataFrame:
+    """The rows of `classes` (node, size, sketch) that share enough values with others to be linked, without their sketches."""
+    lone = classes.select("node", F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).where("df = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    known = classes.withColumn("held", F.size("sketch")).drop("sketch").join(lone, "node", "left")
+    return known.where(F.col("held") - F.coalesce("lone", F.lit(0)) >= _least(similarity, k)).drop("held", "lone")
 
-def inverted_lists(classes: DataFrame, similarity: tuple[int, int], k: int) -> DataFrame:
-    """value, node, size: the entries of the prefix filter. classes: node, size, sketch."""
-    values = classes.select("node", "size", F.explode("sketch").alias("value"))
+
+def inverted_lists(sketched: DataFrame, similarity: tuple[int, int], k: int) -> DataFrame:
+    """value, node, size, own, left: the entries of the prefix filter. `own` counts the values that no other sketch holds, `left` those shared from this one on. sketched: node, size, sketch."""
+    values = sketched.select("node", "size", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    least = F.when(F.col("size") <= 0.8 * k, F.greatest(F.lit(1), F.ceil(F.col("size") * similarity[0] / similarity[1]))).otherwise(F.lit(least_overlap(k, k, similarity)))
     own = Window.partitionBy("node")  # one sketch, at most k rows
-    held = values.join(shared, "value").withColumn("held", F.count(F.lit(1)).over(own)).withColumn("least", least).where("held >= least")
-    return held.withColumn("place", F.row_number().over(own.orderBy("df", "value"))).where("place <= held - least + 1").select("value", "node", "size")
+    held = values.join(shared, "value").withColumn("held", F.count(F.lit(1)).over(own)).withColumn("least", _least(similarity, k)).where("held >= least")
+    placed = held.withColumn("place", F.row_number().over(own.orderBy("df", "value"))).where("place <= held - least + 1")
+    return placed.select("value", "node", "size", (F.least("size", F.lit(k)) - F.col("held")).alias("own"), (F.col("held") - F.col("place") + 1).alias("left"))
 
 
-def link(entries: DataFrame, sets: DataFrame, similarity: tuple[int, int], k: int = K) -> DataFrame:
-    """(node, component) of the nodes linked with another. entries: value, node, size; sets: node, size, set."""
+def link(entries: DataFrame, sets: DataFrame, similarity: tuple[int, int], k: int = FINE) -> DataFrame:
+    """(node, component) of the nodes linked with another. entries: as from `inverted_lists`; sets: node, size, set."""
     num, den = similarity
 
+    def hub_columns(rows: DataFrame, grp: str) -> DataFrame:
+        return rows.select("value", F.col("node").alias("hub"), F.col(grp).alias("hub_grp"), F.col("size").alias("hub_size"), F.col("left").alias("hub_left"))
+
+    def meetings(members: DataFrame, hubs: DataFrame) -> DataFrame:
+        """Members and hubs of one list and different groups that can be similar: their sizes, and the values they share from here on, allow it."""
+        both = F.col("size") + F.col("hub_size")
+        whole = F.greatest("size", "hub_size") <= k
+        asked = F.when(whole, F.ceil(both * num / (num + den))).otherwise(F.lit(least_overlap(den * k, k, similarity)).cast("long"))
+        able = (F.least("size", "hub_size") * den >= F.greatest("size", "hub_size") * num) & (F.least("left", "hub_left") >= asked)
+        return members.join(hubs, "value").where((F.col("grp") != F.col("hub_grp")) & able)
+
     def pairs_of(members: DataFrame, hubs: DataFrame) -> DataFrame:
-        both = members.join(hubs, "value").where((F.col("grp") != F.col("hub_grp")) & (F.least("size", "hub_size") * den >= F.greatest("size", "hub_size") * num))
-        return both.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        return meetings(members, hubs).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
-    lead = entries.groupBy("value").agg(F.min(F.struct("node", "size")).alias("h")).select("value", F.col("h.node").alias("hub"), F.col("h.node").alias("hub_grp"), F.col("h.size").alias("hub_size"))
-    links = stash(_verify(pairs_of(entries.withColumn("grp", F.col("node")), lead), sets, similarity, k), "links")
+    leaders = entries.groupBy("value").agg(F.min(F.struct("own", "node", "size", "left")).alias("h")).select("value", "h.*")
+    met = meetings(entries.withColumn("grp", F.col("node")), hub_columns(leaders, "node")).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = met.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    links = stash(_verify(best, sets, similarity, k), "links")
 
     def grouped() -> tuple[DataFrame, DataFrame]:
         groups = components(links)
-        return groups, entries.join(groups, "node", "left").select("value", "node", "size", F.coalesce("component", "node").alias("grp"))
+        return groups, entries.join(groups, "node", "left").select("value", "node", "size", "left", F.coalesce("component", "node").alias("grp"))
 
     groups, named = grouped()
     kinds = named.groupBy("value", "grp").agg(F.count(F.lit(1)).alias("c"))
@@ -157,15 +189,14 @@ def link(entries: DataFrame, sets: DataFrame, similarity: tuple[int, int], k: in
     last = turns.agg(F.max("turn")).first()[0]
     for turn in range(0 if last is None else last + 1):
         hubs = named.join(turns.where(F.col("turn") == turn).select("value", "node"), ["value", "node"])
-        pairs = stash(pairs_of(named, hubs.select("value", F.col("node").alias("hub"), F.col("grp").alias("hub_grp"), F.col("size").alias("hub_size"))), "pairs")
-        found = stash(_verify(pairs, sets, similarity, k), "links")
+        found = stash(_verify(pairs_of(named, hub_columns(hubs, "grp")), sets, similarity, k), "links")
         if not found.isEmpty():
             links = stash(links.unionByName(found), "links")
             groups, named = grouped()
     return groups
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, k: int = K) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, k: int = K, fine: int = FINE) -> DataFrame:
     """One row a text: id, th, n_shingles, component_id (the least id reachable over links, its own included).
 
     `similarity` is (numerator, denominator): linked if denominator * intersection >= numerator * union.
@@ -173,20 +204,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stash(sketches(docs, id_col, text_col, shingle, k), "sketches")
     by_set = rows.where("size > 0").groupBy("s1", "s2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     classes = stash(by_set.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
-    entries = stash(inverted_lists(classes, similarity, k), "inverted-lists")
-    wanted = classes.select("node", "s1", "s2", "size", F.col("rep.id").alias("id"), F.col("rep.th").alias("th")).join(entries.select("node").distinct(), "node", "left_semi")
+    wanted = promising(classes.select("node", "size", "sketch", F.col("rep.id").alias("id"), F.col("rep.th").alias("th")), similarity, k)
 
     def full(batches):
         hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("size"), pa.array([s.tobytes() for s in _sets(part, hashes, shingle)], pa.binary())], names=["node", "size", "set"])
+                own = _sets(part, hashes, shingle)
+                offsets = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("size"), lists], names=["node", "size", "set"])
 
     source = _rows(docs, id_col, text_col).alias("d")
     picked = source.join(wanted.alias("w"), (F.col("d.th") == F.col("w.th")) & F.col("d.id").eqNullSafe(F.col("w.id"))).select("w.node", "w.size", "d.data")
-    sets = stash(picked.mapInArrow(full, "node long, size long, set binary").dropDuplicates(["node"]), "sets")
-    groups = link(entries, sets, similarity, k)
+    sets = stash(picked.mapInArrow(full, "node long, size long, set array<long>").dropDuplicates(["node"]), "sets")
+    entries = stash(inverted_lists(sets.select("node", "size", F.slice("set", 1, fine).alias("sketch")), similarity, fine), "inverted-lists")
+    groups = link(entries, sets, similarity, fine)
     placed = classes.select("node", "s1", "s2", F.col("rep.id").alias("least")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     known = placed.join(lowest, "component").select("s1", "s2", "component_id")
@@ -194,11 +228,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "th", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, k: int = K) -> DataFrame:
+def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, k: int = K, fine: int = FINE) -> DataFrame:
     """The rows of `docs` whose id is the least of their group, with all their columns."""
-    verdict = near_duplicates(docs, id_col, text_col, shingle, similarity, k)
+    verdict = near_duplicates(docs, id_col, text_col, shingle, similarity, k, fine)
     gone = verdict.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"), F.col("th").alias("_th")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")) == F.col("_th")), "left_anti")
+    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")) == F.col("_th")), "left_anti")
 
 
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:

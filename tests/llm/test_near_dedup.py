@@ -47,6 +47,13 @@ def corpus():
     for i in range(90):  # a chain: each differs a little from the one before
         base[i] = f"chain{i}"
         texts.append(" ".join(base))
+    for size in (700, 1500):  # sets larger than either sketch
+        base = list(rng.choice(vocabulary, size))
+        for edits in (0, 3, 12, 20, 26, 30, 60, 90):
+            own = list(base)
+            for at in rng.choice(size, edits * size // 700, replace=False):
+                own[int(at)] = str(rng.choice(vocabulary))
+            texts.append(" ".join(own))
     texts += ["word " * 20_000, "a b c " * 300, "a b c " * 200]
     return texts
 
@@ -61,6 +68,30 @@ def test_matches_brute_force(docs, monkeypatch, shingle, similarity):
     assert len(rows) == len(texts)
 
 
+def test_a_group_around_an_original_makes_few_pairs(docs, monkeypatch):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(60)]  # so few words that edits make shingles that others have too
+    base = list(rng.choice(vocabulary, 150))
+    texts = [" ".join(base)]
+    for i in range(300):
+        own = list(base)
+        for at in rng.choice(150, i % 14, replace=False):
+            own[int(at)] = str(rng.choice(vocabulary))
+        texts.append(" ".join(own))
+    made = []
+    verify = nd._verify
+    monkeypatch.setattr(nd, "_verify", lambda pairs, *rest: (made.append(pairs.count()), verify(pairs, *rest))[1])
+    rows = nd.near_duplicates(docs(texts), shingle=3, similarity=(85, 100)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute(texts, list(range(len(texts))), 3, 85, 100)
+    assert made and sum(made) < len(texts) ** 2 / 20  # a tenth of all pairs
+
+
+def test_text_ids(spark):
+    frame = spark.createDataFrame([("b", "one two three four five six"), ("a", "One two three four five six"), (None, "x")], "doc_id string, text string")
+    assert sorted((r["doc_id"] or "", r["component_id"] or "") for r in nd.near_duplicates(frame).collect()) == [("", ""), ("a", "a"), ("b", "a")]
+    assert sorted(r["doc_id"] or "" for r in nd.keep_rows(frame).collect()) == ["", "a"]
+
+
 def test_rows_kept(docs):
     long = " ".join(f"t{i}" for i in range(60))
     frame = docs([long, long + " more", None, None, long, "other text"], [4, 2, 7, 8, None, 9])
@@ -72,8 +103,8 @@ def test_rows_kept(docs):
 def test_pairs_with_a_low_estimate_are_still_compared(spark):
     shared, rest = np.arange(37), np.arange(37, 64)  # 37 of the 64 least values are shared: 0.58, over four deviations below 0.8
     common = np.concatenate([shared, np.arange(1000, 1000 + 75)])  # 112 of 139: 0.806
-    a, b = (np.sort(np.concatenate([common, rest[i::2]])).astype("<u8") for i in range(2))
-    sets = spark.createDataFrame([(1, len(a), bytearray(a.tobytes())), (2, len(b), bytearray(b.tobytes()))], "node long, size long, set binary")
+    a, b = (np.sort(np.concatenate([common, rest[i::2]])).tolist() for i in range(2))
+    sets = spark.createDataFrame([(1, len(a), a), (2, len(b), b)], "node long, size long, set array<long>")
     pairs = spark.createDataFrame([(1, 2)], "a long, b long")
     assert [tuple(r) for r in nd._verify(pairs, sets, (80, 100), 64).collect()] == [(1, 2)]
     assert nd._verify(pairs, sets, (81, 100), 64).collect() == []
