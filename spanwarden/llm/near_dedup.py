@@ -11,7 +11,7 @@ texts that hold little else, and two texts of a list become a pair only if the v
 
 Lists are not expanded to all pairs. Each text is first compared with one leader, of those of its lists the one met most often; a list's leader is its text with
 the fewest values of its own, which in a group of copies is about the original. That gathers groups of copies at one pair a text. Then the members outside
-the largest group of a list still mixed take turns, in turns of doubling size, at being compared with the members of other groups, until all have had theirs:
+the largest group of a list still mixed take turns, in turns of fast growing size, at being compared with the members of other groups, until all have had theirs:
 two texts that share a list and stay in different groups have been compared, or ruled out by their counts. A pair is sorted out if the similarity estimated on
 the union's sketch is over six standard deviations below the threshold, and is else confirmed on the full sets. Confirmed links join groups.
 
@@ -30,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, shingle_hashes, stash
+from .common import WordHashes, documents, partitions, shingle_hashes, stash
 
 K, FINE = 64, 512
-HUBS = 24
+#: Hubs of a list's first turn, and how many times as many come by the next.
+HUBS, GROWTH = 32, 32
+#: Links that a task takes while groups are joined.
+TASK_ROWS = 100_000
 SHINGLE, SIMILARITY = 5, (80, 100)
 
 
@@ -87,29 +90,37 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (the least node reachable) of all nodes of `edges` (a, b): alternating large and small stars, each written."""
+    """node, component (the least node reachable) of all nodes of `edges` (a, b): alternating large and small stars, each written.
+
+    The tables of later steps are read in as many tasks as their rows ask for, so that a small graph takes few.
+    """
     edges = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
-        both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a"))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
-        edges = stash(small.distinct(), "edges")
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if state == before:
+        size, total = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if (size, total) == before:
             break
-        before = state
+        before, tasks = (size, total), _tasks(edges, size)
+        both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).coalesce(tasks)
+        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")).coalesce(tasks)
+        large = both.join(low, "x").where("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks)
+        least = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
+        edges = stash(small.distinct().coalesce(tasks), "edges")
     named = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    return named.union(named.select(F.col("component").alias("node"), "component").distinct())
+    return stash(named.union(named.select(F.col("component").alias("node"), "component").distinct()), "components")
+
+
+def _tasks(df: DataFrame, rows: int) -> int:
+    return max(1, min(partitions(df.sparkSession), -(-rows // TASK_ROWS)))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], k: int) -> DataFrame:
-    """The pairs (a, b) whose sets have den * intersection >= num * union; the sketch estimate sorts most others out first."""
+    """The rows of `pairs` (a, b and perhaps others) whose sets have den * intersection >= num * union; the sketch estimate sorts most others out first."""
     num, den = similarity
     ratio = num / den
     lowest = ratio - 6 * (ratio * (1 - ratio) / k) ** 0.5
+    names = pairs.columns
 
     def check(batches):
         for batch in batches:
@@ -128,11 +139,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], k: i
                     continue
                 inter = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * inter >= num * (len(x) + len(y) - inter))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    return two.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return two.select(*names, "sa", "sb").mapInArrow(check, pairs.schema)
 
 
 def promising(classes: DataFrame, similarity: tuple[int, int], k: int) -> DataFrame:
@@ -167,32 +178,30 @@ def link(entries: DataFrame, sets: DataFrame, similarity: tuple[int, int], k: in
         able = (F.least("size", "hub_size") * den >= F.greatest("size", "hub_size") * num) & (F.least("left", "hub_left") >= asked)
         return members.join(hubs, "value").where((F.col("grp") != F.col("hub_grp")) & able)
 
-    def pairs_of(members: DataFrame, hubs: DataFrame) -> DataFrame:
-        return meetings(members, hubs).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
     leaders = entries.groupBy("value").agg(F.min(F.struct("own", "node", "size", "left")).alias("h")).select("value", "h.*")
     met = meetings(entries.withColumn("grp", F.col("node")), hub_columns(leaders, "node")).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
-    best = met.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = stash(_verify(best, sets, similarity, k), "links")
-
-    def grouped() -> tuple[DataFrame, DataFrame]:
-        groups = components(links)
-        return groups, entries.join(groups, "node", "left").select("value", "node", "size", "left", F.coalesce("component", "node").alias("grp"))
-
-    groups, named = grouped()
+    best = met.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("b")).select(F.col("node").alias("a"), "b")
+    groups = components(stash(_verify(best, sets, similarity, k), "links"))
+    named = entries.join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component")
     kinds = named.groupBy("value", "grp").agg(F.count(F.lit(1)).alias("c"))
     mixed = kinds.groupBy("value").agg(F.max(F.struct("c", "grp")).alias("top"), F.sum("c").alias("members"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    outside = named.join(mixed.select("value", F.col("top.grp").alias("big"), (F.col("members") - F.col("top.c")).alias("rest")), "value").where("grp <> big")
-    # A member's place among the rest, by a hash: places 0 to HUBS - 1 have the first turn, then twice as many have the next, and so on.
-    place = (F.pmod(F.xxhash64("node", "value"), F.lit(1 << 30)) / float(1 << 30)) * F.col("rest")
-    turns = stash(outside.select("value", "node", F.floor(F.log2(place / HUBS + 1)).cast("int").alias("turn")), "turns")
-    last = turns.agg(F.max("turn")).first()[0]
-    for turn in range(0 if last is None else last + 1):
-        hubs = named.join(turns.where(F.col("turn") == turn).select("value", "node"), ["value", "node"])
-        found = stash(_verify(pairs_of(named, hub_columns(hubs, "grp")), sets, similarity, k), "links")
+    # A member's place among those outside the largest group, by a hash: places 0 to HUBS - 1 have the first turn, then GROWTH times as many have the next, and so on.
+    place = (F.pmod(F.xxhash64("node", "value"), F.lit(1 << 30)) / float(1 << 30)) * (F.col("members") - F.col("top.c"))
+    turn = F.when(F.col("grp") != F.col("top.grp"), F.floor(F.log(float(GROWTH), place / HUBS * (GROWTH - 1) + 1)).cast("int"))
+    listed = stash(named.join(mixed, "value").select("value", "node", "size", "left", turn.alias("turn")), "mixed-lists")
+    last = listed.agg(F.max("turn")).first()[0]
+    for now in range(0 if last is None else last + 1):
+        named = listed.join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node"))
+        # Of two that meet, a is the member: each pair is compared once a turn, under the labels of their groups.
+        pairs = meetings(named, hub_columns(named.where(F.col("turn") == now), "grp")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.least("grp", "hub_grp").alias("g"), F.greatest("grp", "hub_grp").alias("h")).distinct()
+        found = stash(_verify(pairs, sets, similarity, k), "links")
         if not found.isEmpty():
-            links = stash(links.unionByName(found), "links")
-            groups, named = grouped()
+            merged = components(found.select(F.col("g").alias("a"), F.col("h").alias("b")))
+            now_in = merged.select(F.col("node").alias("_from"), F.col("component").alias("_to"))
+            moved = groups.join(now_in, F.col("component") == F.col("_from"), "left").select("node", F.coalesce("_to", "component").alias("component"))
+            # Nodes that were alone until now.
+            fresh = merged.join(groups.select("node"), "node", "left_anti")
+            groups = stash(moved.unionByName(fresh), "groups")
     return groups
 
 
