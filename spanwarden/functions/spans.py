@@ -22,29 +22,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def find(text: Column, pattern: str) -> Column:
-    """All matches of a pattern without capturing groups, in order.
+def find(text: Column, pattern: str, hint: str | None = None) -> Column:
+    """All matches of a pattern, in order; matches without a character are left out.
 
-    The pattern is anchored at the end of the match before, so one pass gives the gap and the match, whose lengths add up to
-    offsets; look-behind still sees the text before.
+    One pass of the pattern puts marks around its matches, and the text is cut at the marks: every second piece is a match, and the lengths add up to
+    offsets. Marks that the text itself holds are exchanged first, one character for one. `hint` is a text that every match holds: a search for it settles most
+    rows, and one for the pattern most others.
     """
-    anchored = F.lit(rf"(?s)\G(.*?)({pattern})")
+    dirty = text.rlike("[\x01\x02]")
+    clean = F.translate(text, "\x01\x02", "")
 
-    def fold(parts: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast(MATCH).alias("out"))
+    def fold(pieces: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(MATCH).alias("out"))
 
-        def step(acc: Column, part: Column) -> Column:
-            start = acc["at"] + F.length(part["gap"])
-            end = start + F.length(part["hit"])
-            one = F.array(F.struct(start.alias("start"), end.alias("end"), part["hit"].alias("value")))
-            return F.struct(end.alias("at"), F.when(acc["out"].isNull(), one).otherwise(F.concat(acc["out"], one)).cast(MATCH).alias("out"))
+        def step(acc: Column, piece: Column) -> Column:
+            end = acc["at"] + F.length(piece)
+            value = F.when(dirty, F.substring(text, acc["at"] + 1, F.length(piece))).otherwise(piece)
+            one = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), value.alias("value")))
+            return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"] & (piece != ""), F.concat(acc["out"], one)).otherwise(acc["out"]).cast(MATCH).alias("out"))
 
-        return F.aggregate(parts, zero, step, lambda acc: F.coalesce(acc["out"], F.array().cast(MATCH)))
+        return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
 
-    gaps, hits = F.regexp_extract_all(text, anchored, F.lit(1)), F.regexp_extract_all(text, anchored, F.lit(2))
-    pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
-    # One cheap search settles most texts, which hold no match.
-    return F.when(text.rlike(pattern), fold(F.filter(pairs.cast("array<struct<gap:string,hit:string>>"), lambda p: p["hit"] != ""))).otherwise(F.array().cast(MATCH))
+    marked = F.regexp_replace(clean, F.lit(f"({pattern})"), F.lit("\x01$1\x02"))
+    some = text.rlike(pattern) if hint is None else text.contains(hint) & text.rlike(pattern)
+    return F.when(some, fold(F.split(marked, "[\x01\x02]", -1))).otherwise(F.array().cast(MATCH))
 
 
 def spans(matches: Column, entity: str, confidence: float, recognizer: str | None = None) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import check as ck
 
@@ -40,14 +43,28 @@ def completion_text(body: Column) -> Column:
 
 
 def reapply_completion(body: Column, text: Column) -> Column:
-    """The body with the text in its first choice and the others blank."""
-    parsed = F.from_json(body, COMPLETION)
-
-    def one(c: Column, i: Column) -> Column:
-        own = F.when(i == 0, text).otherwise(F.lit(""))
-        return c.withField("text", F.when(c["text"].isNotNull(), own)).withField("message", F.when(c["message"].isNotNull(), c["message"].withField("content", own)))
-
-    return F.to_json(parsed.withField("choices", F.transform(parsed["choices"], one)))
+    """The body with the text in its first choice and the others blank; all else (ids, usage, tool calls) as it was. A body that is no object is unchanged."""
+    return _reapplied(body, text)
+
+
+@F.pandas_udf(StringType())
+def _reapplied(bodies: pd.Series, texts: pd.Series) -> pd.Series:
+    def one(body, text):
+        try:
+            tree = json.loads(body)
+            choices = tree["choices"]
+        except (KeyError, TypeError, ValueError):
+            return body
+        for i, choice in enumerate(choices if isinstance(choices, list) else ()):
+            own = text if i == 0 else ""
+            if isinstance(choice, dict):
+                if isinstance(choice.get("text"), str):
+                    choice["text"] = own
+                if isinstance(choice.get("message"), dict):
+                    choice["message"]["content"] = own
+        return json.dumps(tree, ensure_ascii=False, separators=(",", ":"))
+
+    return pd.Series([one(b, t) for b, t in zip(bodies, texts, strict=True)], dtype=object)
 
 
 def prompt_texts(prompt: list[dict]) -> list[tuple[str, str]]:

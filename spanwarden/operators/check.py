@@ -11,12 +11,15 @@ from ..functions import tokens as K
 from ..functions.catalogue import NER, PII, SECRETS
 from ..functions.spans import DECIDED, collapse, let, splice
 from . import policy as P
-from .detect import Recognizer, builtin, detect
+from .detect import Recognizer, builtin, columns_first, detect
 
 DECISION = "struct<action:string,entity:string,boundary_key:string,boundary_kind:string,agent:string,rule:string,path:string,start:int,end:int,content_hash:string,applied_as:string>"
 PUT = "struct<workflow_id:string,token:string,entity:string,value:string>"
 
 
+RESULTS = ("output", "blocked", "block_entity", "block_rule", "block_message", "decisions", "puts")
+
+
 @dataclass(frozen=True)
 class Context:
     """What a check needs besides the text. `boundary` and `agent` are values or, as columns, differ by row."""
@@ -54,21 +57,22 @@ def _joined_rules(df: DataFrame, ctx: Context) -> DataFrame:
     """`df` with `_rules`, the map of its row's boundary and agent: resolved on distinct pairs and joined back."""
     agent = F.coalesce(F.nullif(F.col(f"`{ctx.agent_col}`"), F.lit("")), F.lit("default")) if ctx.agent_col else F.lit(ctx.agent or "default")
     key = F.col(f"`{ctx.boundary_col}`") if ctx.boundary_col else F.lit(P.boundary_key(ctx.boundary))
-    df = df.withColumn("_key", key).withColumn("_agent", agent)
-    triples = df.select(F.col("_key").alias("boundary_key"), F.col("_agent").alias("agent")).distinct().withColumn("entity", F.explode(F.array(*[F.lit(e) for e in _known(ctx)])))
-    resolved = P.resolve(triples, ctx.policy).groupBy("boundary_key", "agent").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("action", "format", "rule")))).alias("_rules"))
-    return df.join(resolved.withColumnsRenamed({"boundary_key": "_key", "agent": "_agent"}), ["_key", "_agent"], "left")
+    df = df.withColumn("_check_key", key).withColumn("_check_agent", agent)
+    triples = df.select(F.col("_check_key").alias("boundary_key"), F.col("_check_agent").alias("agent")).distinct().withColumn("entity", F.explode(F.array(*[F.lit(e) for e in _known(ctx)])))
+    resolved = P.resolve(triples, ctx.policy).groupBy("boundary_key", "agent").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("action", "format", "rule")))).alias("_check_rules"))
+    return df.join(resolved.withColumnsRenamed({"boundary_key": "_check_key", "agent": "_check_agent"}), ["_check_key", "_check_agent"], "left")
 
 
 def check(df: DataFrame, text_col: str, ctx: Context) -> DataFrame:
     """All columns of `df`, and output, blocked, block_entity, block_rule, block_message, decisions, puts.
 
     `output` is null where the row is blocked. `puts` are the vault records to insert. A null text passes unchanged with no decision. Without row-wise boundaries or
-    agents nothing is shuffled or joined.
+    agents nothing is shuffled or joined. A column of `df` that has the name of a result gives way to it; names that begin with `_check_` are for the check alone.
     """
-    kept = [F.col(f"`{c}`") for c in df.columns]
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in RESULTS]
+    df, recognizers = columns_first(df, text_col, ctx.recognizers or builtin())
     if ctx.boundary_col or ctx.agent_col:
-        rows, rules, key, agent = _joined_rules(df, ctx), F.col("_rules"), F.col("_key"), F.col("_agent")
+        rows, rules, key, agent = _joined_rules(df, ctx), F.col("_check_rules"), F.col("_check_key"), F.col("_check_agent")
     else:
         rows, rules, key, agent = df, _literal_rules(ctx), F.lit(P.boundary_key(ctx.boundary)), F.lit(ctx.agent or "default")
     workflow = F.coalesce(F.nullif(F.col(f"`{ctx.workflow_col}`"), F.lit("")), F.lit("default")) if ctx.workflow_col else F.lit(ctx.workflow)
@@ -76,22 +80,22 @@ def check(df: DataFrame, text_col: str, ctx: Context) -> DataFrame:
     as_mask = ctx.apply_block_as == "mask"
     pads = F.lit(0) if ctx.master is None else K.workflow_pads(ctx.master, ctx.workflow, workflow if ctx.workflow_col else None)
     result = let(
-        detect(text, ctx.recognizers, ctx.threshold),
+        detect(text, recognizers, ctx.threshold),
         lambda s: F.when(F.size(s) > 0, let(pads, lambda w: let(_decided(s, rules, ctx.strict), lambda items: _applied(text, items, key, agent, workflow, w, as_mask, ctx)))),
     )
-    rows = rows.withColumn("_r", result)
-    touched = F.col("_r").isNotNull()
-    blocked = touched & F.col("_r.blocked")
-    message = F.concat(F.lit("Blocked by data policy: "), F.col("_r.first.entity"), F.lit(" may not be sent to "), key, F.lit(" (rule: "), F.col("_r.first.rule"), F.lit(")"))
+    rows = rows.withColumn("_check_r", result)
+    touched = F.col("_check_r").isNotNull()
+    blocked = touched & F.col("_check_r.blocked")
+    message = F.concat(F.lit("Blocked by data policy: "), F.col("_check_r.first.entity"), F.lit(" may not be sent to "), key, F.lit(" (rule: "), F.col("_check_r.first.rule"), F.lit(")"))
     return rows.select(
         *kept,
-        F.when(blocked, F.lit(None).cast("string")).when(touched, F.col("_r.output")).otherwise(text).alias("output"),
+        F.when(blocked, F.lit(None).cast("string")).when(touched, F.col("_check_r.output")).otherwise(text).alias("output"),
         F.coalesce(blocked, F.lit(False)).alias("blocked"),
-        F.when(blocked, F.col("_r.first.entity")).alias("block_entity"),
-        F.when(blocked, F.col("_r.first.rule")).alias("block_rule"),
+        F.when(blocked, F.col("_check_r.first.entity")).alias("block_entity"),
+        F.when(blocked, F.col("_check_r.first.rule")).alias("block_rule"),
         F.when(blocked, message).alias("block_message"),
-        F.coalesce(F.col("_r.decisions"), F.array().cast(f"array<{DECISION}>")).alias("decisions"),
-        F.when(blocked | ~touched, F.array().cast(f"array<{PUT}>")).otherwise(F.col("_r.puts")).alias("puts"),
+        F.coalesce(F.col("_check_r.decisions"), F.array().cast(f"array<{DECISION}>")).alias("decisions"),
+        F.when(blocked | ~touched, F.array().cast(f"array<{PUT}>")).otherwise(F.col("_check_r.puts")).alias("puts"),
     )
 
 

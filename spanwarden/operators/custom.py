@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable, Iterator
 
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import catalogue as C
 from ..functions.spans import SPANS, find, spans
-from .detect import Recognizer, RecognizerError
+from .detect import Recognizer, RecognizerError, builtin, columns_first, detect
 
 # Limits on pattern sources.
 MAX_SOURCE, MAX_REPEAT = 512, 64
+_failed: set[str] = set()
 _NAME = re.compile(r"[a-z][a-z0-9_]{0,63}\Z")
 
 
@@ -49,24 +51,24 @@ def validate_pattern(source: str, index: int = 0) -> None:
         raise RecognizerError(f"pattern {index}: {rule}")
 
     if len(source) > MAX_SOURCE:
-        refuse(f"source exceeds max length {MAX_SOURCE}")
+        refuse(f"longer than {MAX_SOURCE} characters")
     found = list(_tokens(source))
     if any(kind == "escape" and re.match(r"\\[1-9k]", text) for kind, text in found):
-        refuse("backreferences are not allowed")
+        refuse("it refers back to a group")
     groups: list[list] = []  # [is a look-behind, holds a quantifier]
     closed = None
     for kind, text in found:
         if kind == "repeat":
             upper = _upper(text)
             if any(g[0] for g in groups):
-                refuse("lookbehind with quantified content is not allowed")
+                refuse("it repeats something inside a look-behind")
             if closed is not None:
                 if closed[1]:
-                    refuse("nested quantifiers on groups are not allowed")
+                    refuse("a repeated group repeats something itself")
                 if upper > MAX_REPEAT:
-                    refuse(f"quantifier upper bound exceeds {MAX_REPEAT} or is unbounded on a repeated group")
+                    refuse(f"more than {MAX_REPEAT} repeats, or no bound on a group's repeats")
             elif text[0] == "{" and upper > MAX_REPEAT:
-                refuse(f"quantifier upper bound exceeds {MAX_REPEAT} or is unbounded on a repeated group")
+                refuse(f"more than {MAX_REPEAT} repeats, or no bound on a group's repeats")
             for g in groups:
                 g[1] = True
         closed = None
@@ -110,28 +112,21 @@ def function_recognizer(recognizer_id: str, entities: tuple[str, ...], scan: Cal
         def one(text):
             try:
                 return [{"entity": e, "start": s, "end": t, "confidence": c, "recognizer": recognizer_id, "path": "", "value": text[s:t]} for e, s, t, c in scan(text or "")]
-            except Exception:  # noqa: BLE001  a failing recognizer is left out, the others go on
+            except Exception as failure:  # noqa: BLE001  a failing recognizer is left out, the others go on
+                if recognizer_id not in _failed:  # once a worker, by its id and never with the text
+                    _failed.add(recognizer_id)
+                    logging.getLogger(__name__).warning("recognizer %s failed: %s", recognizer_id, type(failure).__name__)
                 return []
 
         return texts.map(one)
 
-    return Recognizer(recognizer_id, entities, run, tier)
+    return Recognizer(recognizer_id, entities, run, tier, python=True)
 
 
 def detect_with_functions(df, text_col: str, recognizers: tuple[Recognizer, ...]):
-    """`df` with column `spans`: built-in and custom expressions and functions together, merged.
-
-    Python functions cannot run inside the lambdas of an expression, so their spans are columns first.
-    """
-    from ..functions.spans import let, merge
-    from .detect import builtin
-
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    out = df
-    for i, r in enumerate(recognizers):
-        out = out.withColumn(f"_spans_{i}", r.scan(text))
-    found = F.concat(*[r.scan(text) for r in builtin()], *[F.col(f"_spans_{i}") for i in range(len(recognizers))])
-    return out.withColumn("spans", let(found, lambda s: merge(s, text))).drop(*[f"_spans_{i}" for i in range(len(recognizers))])
+    """`df` with column `spans`: built-in and custom expressions and functions together, merged."""
+    rows, ready = columns_first(df, text_col, (*builtin(), *recognizers))
+    return rows.withColumn("spans", detect(F.col(f"`{text_col}`"), ready)).select(*[F.col(f"`{c}`") for c in df.columns if c != "spans"], "spans")
 
 
 def register_table_function(spark: SparkSession, name: str = "scan_spans", patterns: dict[str, str] | None = None) -> None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ class Recognizer:
     entities: tuple[str, ...]
     scan: Callable[[Column], Column]
     tier: int = 0
+    python: bool = False  # the scan runs Python, which cannot stand inside a lambda: `check` makes it a column first
 
 
 def _digits(value: Column) -> Column:
@@ -33,14 +34,14 @@ def _digits(value: Column) -> Column:
 
 
 def email(text: Column) -> Column:
-    return spans(find(text, C.EMAIL), "email", 1.0)
+    return spans(find(text, C.EMAIL, "@"), "email", 1.0)
 
 
 def phone(text: Column) -> Column:
     def enough(m: Column) -> Column:
         return F.filter(m, lambda x: F.length(_digits(x["value"])).between(7, 15))
 
-    return F.concat(spans(enough(find(text, C.PHONE_INTERNATIONAL)), "phone", 1.0), spans(enough(find(text, C.PHONE_NATIONAL)), "phone", 0.8))
+    return F.concat(spans(enough(find(text, C.PHONE_INTERNATIONAL, "+")), "phone", 1.0), spans(enough(find(text, C.PHONE_NATIONAL)), "phone", 0.8))
 
 
 def credit_card(text: Column) -> Column:
@@ -70,7 +71,7 @@ def ssn_valid(digits: Column) -> Column:
 
 
 def ssn(text: Column) -> Column:
-    written = F.filter(find(text, C.SSN_FORMATTED), lambda m: ssn_valid(_digits(m["value"])))
+    written = F.filter(find(text, C.SSN_FORMATTED, "-"), lambda m: ssn_valid(_digits(m["value"])))
 
     def near(words: Column) -> Column:
         return F.filter(find(text, C.SSN_PLAIN), lambda m: ssn_valid(m["value"]) & F.exists(words, lambda w: (m["start"] - w["end"]).between(0, C.SSN_WINDOW)))
@@ -93,27 +94,36 @@ def ipv4_reserved(value: Column) -> Column:
     )
 
 
+def ipv6_valid(value: Column) -> Column:
+    """Eight groups of one to four hexadecimal digits, or up to seven and one `::` for the others; or an embedded version 4 address."""
+    sides = F.split(value, "::", -1)
+    groups = F.flatten(F.transform(sides, lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ":", -1))))
+    plain = F.forall(groups, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")) & F.when(F.size(sides) == 1, F.size(groups) == 8).otherwise((F.size(sides) == 2) & (F.size(groups) <= 7))
+    tail = F.element_at(F.split(value, ":", -1), -1)
+    return F.when(value.rlike(C.IPV6_EMBEDDED), ipv4_canonical(tail)).otherwise(plain)
+
+
 def ipv6_reserved(value: Column) -> Column:
     return F.lower(value).rlike("^(?:::1?$|fe[89ab]|f[cdf]|2001:db8)")
 
 
 def ip_address(text: Column, include_private: bool = False) -> Column:
-    four = F.filter(find(text, C.IPV4), lambda m: ipv4_canonical(m["value"]) & (F.lit(include_private) | ~ipv4_reserved(m["value"])))
-    six = F.filter(find(text, C.IPV6), lambda m: F.lit(include_private) | ~ipv6_reserved(m["value"]))
+    four = F.filter(find(text, C.IPV4, "."), lambda m: ipv4_canonical(m["value"]) & (F.lit(include_private) | ~ipv4_reserved(m["value"])))
+    six = F.filter(find(text, C.IPV6, ":"), lambda m: ipv6_valid(m["value"]) & (F.lit(include_private) | ~ipv6_reserved(m["value"])))
     return F.concat(spans(four, "ip_address", 1.0), spans(six, "ip_address", 1.0))
 
 
 def ipv4_only(text: Column) -> Column:
     """Public version 4 addresses, under the class's name."""
-    return spans(F.filter(find(text, C.IPV4), lambda m: ipv4_canonical(m["value"]) & ~ipv4_reserved(m["value"])), "ip_address", 1.0)
+    return spans(F.filter(find(text, C.IPV4, "."), lambda m: ipv4_canonical(m["value"]) & ~ipv4_reserved(m["value"])), "ip_address", 1.0)
 
 
 def url_credentials(text: Column) -> Column:
-    return spans(find(text, C.URL_CREDENTIALS), "url_credentials", 1.0)
+    return spans(find(text, C.URL_CREDENTIALS, "://"), "url_credentials", 1.0)
 
 
 def api_key(text: Column) -> Column:
-    return F.concat(spans(find(text, C.API_KEY), "api_key", 1.0), spans(find(text, C.PUBLISHABLE_KEY), "api_key", 0.6))
+    return F.concat(spans(find(text, C.API_KEY), "api_key", 1.0), spans(find(text, C.PUBLISHABLE_KEY, "pk_live_"), "api_key", 0.6))
 
 
 def jwt_header_valid(value: Column) -> Column:
@@ -128,11 +138,11 @@ def jwt_header_valid(value: Column) -> Column:
 
 
 def jwt(text: Column) -> Column:
-    return spans(F.filter(find(text, C.JWT), lambda m: jwt_header_valid(m["value"])), "jwt", 1.0)
+    return spans(F.filter(find(text, C.JWT, "eyJ"), lambda m: jwt_header_valid(m["value"])), "jwt", 1.0)
 
 
 def private_key(text: Column) -> Column:
-    return spans(find(text, C.PRIVATE_KEY), "private_key", 1.0)
+    return spans(find(text, C.PRIVATE_KEY, "-----BEGIN "), "private_key", 1.0)
 
 
 def entropy(value: Column) -> Column:
@@ -194,6 +204,20 @@ def detect(text: Column, recognizers: tuple[Recognizer, ...] | None = None, thre
     return let(own, run).cast(SPANS)
 
 
+def columns_first(df: DataFrame, text_col: str, recognizers: tuple[Recognizer, ...]) -> tuple[DataFrame, tuple[Recognizer, ...]]:
+    """`df` with a column of spans for each recognizer that runs Python, and the recognizers with those columns as their scans."""
+    out, ready = df, []
+    for i, r in enumerate(recognizers):
+        if r.python:
+            name = f"_spans_{i}"
+            while name in df.columns:
+                name = f"_{name}"
+            out = out.withColumn(name, r.scan(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+            r = replace(r, scan=lambda _, name=name: F.col(name), python=False)
+        ready.append(r)
+    return out, tuple(ready)
+
+
 def detections(df: DataFrame, text_col: str, keys: list[str], **options) -> DataFrame:
     """One row a span: the key columns, ordinal, and the span's fields. Nothing is shuffled."""
     found = df.select(*[F.col(f"`{k}`") for k in keys], F.posexplode(detect(F.col(f"`{text_col}`"), **options)).alias("ordinal", "s"))

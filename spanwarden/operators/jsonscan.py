@@ -34,6 +34,19 @@ def walk(value, path: str = "", depth: int = 0):
             yield from walk(x, pointer(path, k), depth + 1)
 
 
+def parse(raw: str) -> tuple[object, bool]:
+    """(tree, whether an object of it names a key twice); of such a key the last value counts. ValueError for malformed text."""
+    twice = False
+
+    def pairs(found):
+        nonlocal twice
+        tree = dict(found)
+        twice |= len(tree) < len(found)
+        return tree
+
+    return json.loads(raw, object_pairs_hook=pairs), twice
+
+
 def get(value, path: str) -> str | None:
     """The string at a pointer, or None."""
     for part in path.split("/")[1:]:
@@ -63,60 +76,75 @@ def checkable(column: Column) -> Column:
     return F.when(column.isNull() | (text == "null"), F.lit("{}")).when(text.startswith("{"), text).otherwise(F.concat(F.lit('{"value":'), text, F.lit("}")))
 
 
-def leaves(df: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
-    """key columns, path, is_key, text: one row a string leaf or object key. Null and malformed payloads have none."""
+def leaves(df: DataFrame, json_col: str, keys: list[str], whole: bool = False) -> DataFrame:
+    """key columns, path, is_key, text: one row a string leaf or object key. Null and malformed payloads have none; with `whole`, a malformed one is a single leaf, path "", and `at` numbers a payload's rows."""
     rows = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{json_col}`").cast("string").alias("_json"))
 
     def run(batches):
         for batch in batches:
-            at, paths, is_key, texts = [], [], [], []
+            at, place, paths, is_key, texts = [], [], [], [], []
             for i, raw in enumerate(batch.column("_json").to_pylist()):
                 try:
-                    found = walk(json.loads(raw)) if raw is not None else ()
-                    for p, k, t in found:
-                        at.append(i), paths.append(p), is_key.append(k), texts.append(t)
-                except ValueError:
-                    continue
+                    found = list(walk(parse(raw)[0])) if raw is not None else []
+                except (ValueError, RecursionError):
+                    found = [("", False, raw)] if whole else []
+                for j, (p, k, t) in enumerate(found):
+                    at.append(i), place.append(j), paths.append(p), is_key.append(k), texts.append(t)
             own = batch.select(keys).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(paths, pa.string()), pa.array(is_key, pa.bool_()), pa.array(texts, pa.string())], names=[*keys, "path", "is_key", "text"])
+            last = [pa.array(place, pa.int32())] if whole else []
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(paths, pa.string()), pa.array(is_key, pa.bool_()), pa.array(texts, pa.string()), *last], names=[*keys, "path", "is_key", "text", *["at"] * whole])
 
-    schema = df.select(*[F.col(f"`{k}`") for k in keys], F.lit("").alias("path"), F.lit(True).alias("is_key"), F.lit("").alias("text")).schema
+    schema = df.select(*[F.col(f"`{k}`") for k in keys], F.lit("").alias("path"), F.lit(True).alias("is_key"), F.lit("").alias("text"), *[F.lit(0).alias("at")] * whole).schema
     return rows.mapInArrow(run, schema)
 
 
 def check_json(df: DataFrame, json_col: str, keys: list[str], ctx: ck.Context) -> DataFrame:
     """`df` with output (JSON, null if blocked), blocked, block_entity, block_rule, decisions; leaves are rewritten, key hits are only reported.
 
-    The leaves of a payload are gathered again by key; a payload bounds their number.
+    `keys` name rows, and none of path, is_key, text, at. The block reported is the first by place in its leaf, then by the leaf's place in the payload. A malformed payload is checked as one
+    text. Of a key that an object names twice the last value counts, and the others leave the output, also where nothing else is rewritten. The leaves of a payload are gathered again by
+    key; a payload bounds their number.
     """
-    checked = ck.check(leaves(df, json_col, keys), "text", ctx)
+    checked = ck.check(leaves(df, json_col, keys, whole=True), "text", ctx)
     touched = checked.where(F.size("decisions") > 0)
     located = F.transform("decisions", lambda d: d.withField("path", F.col("path")))
+    start = F.array_min(F.transform(F.filter("decisions", lambda d: d["action"] == "block"), lambda d: d["start"]))
+    first = F.min(F.when(F.col("blocked"), F.struct(start.alias("start"), F.col("at"), F.col("block_entity"), F.col("block_rule"))))
     per = touched.groupBy(*keys).agg(
         F.collect_list(F.when(~F.col("is_key") & ~F.col("blocked"), F.struct("path", "output"))).alias("_edits"),
-        F.flatten(F.collect_list(located)).alias("decisions"),
+        F.transform(F.array_sort(F.flatten(F.collect_list(F.transform(located, lambda d, i: F.struct(d["start"].alias("start"), F.col("at"), i.alias("i"), d.alias("d")))))), lambda x: x["d"]).alias("decisions"),
         F.max("blocked").alias("blocked"),
-        F.min_by("block_entity", "path").alias("block_entity"),
-        F.min_by("block_rule", "path").alias("block_rule"),
+        first.alias("_first"),
     )
-    joined = df.join(per, keys, "left")
-    names = df.columns
+    names = [c for c in df.columns if c not in ("output", "blocked", "block_entity", "block_rule", "decisions")]
+    match = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys]
+    joined = df.alias("l").join(per.alias("r"), match, "left")
 
     def run(batches):
         for batch in batches:
             out = []
             for raw, edits, stop in zip(*(batch.column(c).to_pylist() for c in ("_json", "_edits", "blocked")), strict=True):
-                if stop or not edits:
+                if stop or raw is None:
                     out.append(None if stop else raw)
                     continue
-                tree = json.loads(raw)
-                for e in edits:
+                try:
+                    tree, twice = parse(raw)
+                except (ValueError, RecursionError):
+                    out.append(edits[0]["output"] if edits else raw)
+                    continue
+                if not edits and not twice:
+                    out.append(raw)
+                    continue
+                for e in edits or ():
                     tree = put(tree, e["path"], e["output"])
                 out.append(json.dumps(tree, ensure_ascii=False, separators=(",", ":")))
             keep = [c for c in batch.schema.names if c not in ("_json", "_edits")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, "output"])
 
-    wide = joined.select(*[F.col(f"`{c}`") for c in names], F.coalesce("blocked", F.lit(False)).alias("blocked"), "block_entity", "block_rule", F.coalesce("decisions", F.array().cast(f"array<{ck.DECISION}>")).alias("decisions"), F.col(f"`{json_col}`").cast("string").alias("_json"), "_edits")
+    wide = joined.select(
+        *[F.col(f"l.`{c}`") for c in names], F.coalesce("r.blocked", F.lit(False)).alias("blocked"), F.col("r._first.block_entity").alias("block_entity"), F.col("r._first.block_rule").alias("block_rule"),
+        F.coalesce("r.decisions", F.array().cast(f"array<{ck.DECISION}>")).alias("decisions"), F.col(f"l.`{json_col}`").cast("string").alias("_json"), F.col("r._edits").alias("_edits"),
+    )
     schema = wide.drop("_json", "_edits").withColumn("output", F.lit(None).cast("string")).schema
     return wide.mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ def test_safe_patterns(source):
     custom.validate_pattern(source)
 
 
-@pytest.mark.parametrize(("source", "rule"), [("a" * 513, "length"), (r"(a)\1", "backref"), (r"(?<n>a)\k<n>", "backref"), ("(a+)+", "nested"), ("((a*)b)*", "nested"), ("(ab)*", "unbounded"), ("(ab){2,}", "unbounded"), ("a{65}", "upper bound"), ("(?<=a+)b", "lookbehind")])
+@pytest.mark.parametrize(("source", "rule"), [("a" * 513, "longer"), (r"(a)\1", "refers back"), (r"(?<n>a)\k<n>", "refers back"), ("(a+)+", "repeats something itself"), ("((a*)b)*", "repeats something itself"), ("(ab)*", "repeats"), ("(ab){2,}", "repeats"), ("a{65}", "repeats"), ("(?<=a+)b", "look-behind")])
 def test_unsafe_patterns(source, rule):
     with pytest.raises(detect.RecognizerError, match=rule) as e:
         custom.validate_pattern(source, 3)
