@@ -12,6 +12,7 @@ from ..functions import tokens as K
 from ..operators import audit, check, detect, jsonscan, policy, restore, vault
 from ..operators import chat as ch
 from ..sources import files
+from . import synthetic
 
 MASTER = b"an example key of thirty-two byte"[:32]
 MODEL = {"kind": "model", "provider": "openai/gpt-4o"}
@@ -225,7 +226,7 @@ QUERIES = {
     "vault_first_writes": vault_first_writes,
     "vault_insert_if_absent": vault_insert,
     "restore_roundtrip": restore_roundtrip,
-} | audit.QUERIES | jsonscan.QUERIES | ch.QUERIES
+} | synthetic.QUERIES | audit.QUERIES | jsonscan.QUERIES | ch.QUERIES
 
 _HAS_EMAIL = EMAIL_SQL.format(t="documents", k="doc_id", c="text")
 ORACLE = {
@@ -250,4 +251,4 @@ ORACLE = {
     "vault_first_writes": FIRST_SQL,
     "vault_insert_if_absent": f"SELECT workflow_id, token, entity, value, epoch(TIMESTAMP '2024-06-02 00:00:00')::BIGINT AS expires_s, CASE WHEN collision THEN 'collision' ELSE 'ok' END AS vault_status FROM ({FIRST_SQL}) WHERE substr(workflow_id, 2)::INT % 2 = 1 OR workflow_id IN ('w0', 'w2', 'w4', 'w6')",
     "restore_roundtrip": "SELECT doc_id, text FROM documents",
-} | audit.ORACLE | jsonscan.ORACLE | ch.ORACLE
+} | synthetic.ORACLE | audit.ORACLE | jsonscan.ORACLE | ch.ORACLE

@@ -111,8 +111,8 @@ def test_emit_end(case, want):
 
 
 def test_stream_step():
-    policy = ts.StreamPolicy({"email": ("mask", "entities.email"), "api_key": ("block", "entities.api_key")})
-    scan = ts.simple_detector()
+    policy = ts.StreamPolicy({"email": ("mask", None, "entities.email"), "api_key": ("block", None, "entities.api_key")})
+    scan = ts.full_detector()
     text = "write to someone@example.org and on " * 5
     for size in (1, 7, 1000):
         rows = [(i, text[i * size : (i + 1) * size], False) for i in range(-(-len(text) // size))] + [(10**6, "", True)]
@@ -132,7 +132,7 @@ def test_stream_query(spark, tmp_path):
     rows = [("a", 0, "mail x@y", False), ("a", 1, ".org!", True), ("b", 0, "ok", True)]
     spark.createDataFrame(rows, "stream_id string, seq long, delta string, is_final boolean").coalesce(1).write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema("stream_id string, seq long, delta string, is_final boolean").parquet(f"{tmp_path}/in")
-    out = ts.check_stream(source, ts.StreamPolicy({"email": ("mask", "r")}))
+    out = ts.check_stream(source, ts.StreamPolicy({"email": ("mask", None, "r")}))
     q = out.writeStream.format("memory").queryName("checked").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {}
