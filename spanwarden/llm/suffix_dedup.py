@@ -9,7 +9,7 @@ whose hash occurs once in the corpus hold no repeat and are left out; they are c
 are sorted a block of bounded size at a time: suffixes are ordered by their first V bytes, and ties are resolved by
 the ranks of suffixes at a difference cover modulo V, computed before by doubling; for any two suffixes there is an offset below V at which
 both have a rank, so a tie of any length costs one look-up. Neighbours in the order that agree on LENGTH bytes (a 64-bit hash
-of them, and a sample of the bytes themselves) are repeats.
+of them first, then the bytes themselves) are repeats.
 
 Equal runs are collapsed before they are shuffled, and a bucket with over HOT_RUNS different runs (a passage met in a great many contexts) is not
 sorted in one task: its runs are cut into pieces, dealt again by the bytes that all strings of a piece share, level by level down to single strings, which
@@ -184,6 +184,35 @@ def _window_hashes(text: np.ndarray, length: int) -> np.ndarray:
     return (total[length:] - total[:-length]) * inverse[: len(text) - length + 1]
 
 
+def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Which of the pairs of starts agree on all `length` bytes.
+
+    Pairs that follow each other (a + 1 and b + 1 after a and b) share all bytes but one at each end, so the first pair of such a row is compared in full and
+    the others by their last byte; a row in which any of these differs is compared in full.
+    """
+    order = np.lexsort((a, b - a))
+    a, b = a[order], b[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)
+
+    def whole(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        same = np.ones(len(x), bool)
+        for offset in range(length):
+            at = np.flatnonzero(same) if offset % 64 == 0 else at
+            same[at] &= text[x[at] + offset] == text[y[at] + offset]
+        return same
+
+    same = np.ones(len(a), bool)
+    same[first] = whole(a[first], b[first])
+    same[~first] = text[a[~first] + length - 1] == text[b[~first] + length - 1]
+    row = np.cumsum(first) - 1
+    doubtful = np.flatnonzero((np.bincount(row, weights=~same, minlength=1) > 0)[row]) if len(a) else np.zeros(0, np.int64)
+    same[doubtful] = whole(a[doubtful], b[doubtful])
+    out = np.empty(len(a), bool)
+    out[order] = same
+    return out
+
+
 def repeated_starts(strings: list[bytes], starts: list[int], leads: list[int], length: int = LENGTH) -> list[np.ndarray]:
     """For each string, which of its first `starts` suffixes agree on `length` bytes with another suffix of the block.
 
@@ -205,10 +234,7 @@ def repeated_starts(strings: list[bytes], starts: list[int], leads: list[int], l
     a, b = order[:-1], order[1:]
     marks = _window_hashes(text, length)
     alive = np.flatnonzero(marks[a] == marks[b])
-    # The bytes are looked at as well, in eights spread over the string.
-    words = _words(text)
-    for offset in range(0, length - 7, 8 * max(1, length // 64)) if length >= 8 else ():
-        alive = alive[words[a[alive] + offset] == words[b[alive] + offset]]
+    alive = alive[_equal(text, a[alive], b[alive], length)]
     found = np.zeros(len(text), bool)
     found[a[alive]] = True
     found[b[alive]] = True
@@ -311,7 +337,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # A run that occurs twice as a whole is repeated at all its starts.
     whole = times.where("times > 1").select("digest", F.lit(True).alias("whole"))
     places = cuts.select("k1", "k2", "first", "n", "digest")
-    spans = places.join(whole.distinct(), "digest", "left").join(partial, "digest", "left").where("whole OR ranges IS NOT NULL")
+    # All that is known of a run in one row, so that its places meet it in one join, whose hot runs can be split.
+    known = whole.distinct().select("digest", "whole", F.lit(None).cast("struct<offset:int,ranges:binary>").alias("part")).unionByName(partial.select("digest", F.lit(None).cast("boolean").alias("whole"), F.struct(F.col("offset").cast("int").alias("offset"), "ranges").alias("part")))
+    known = known.groupBy("digest").agg(F.max("whole").alias("whole"), F.collect_set("part").alias("parts"))
+    known = known.withColumn("parts", F.when(F.col("whole"), F.array(F.lit(None).cast("struct<offset:int,ranges:binary>"))).otherwise(F.col("parts")))
+    met = places.join(known, "digest").select("k1", "k2", "first", "n", "whole", F.explode("parts").alias("part"))
+    spans = met.select("k1", "k2", "first", "n", "whole", F.col("part.offset").alias("offset"), F.col("part.ranges").alias("ranges"))
     at = F.when(F.col("whole"), F.col("first")).otherwise(F.col("first") + F.col("offset"))
     return spans.select("k1", "k2", F.struct(at.alias("first"), F.when(F.col("whole"), F.col("n")).alias("n"), F.when(F.col("whole").isNull(), F.col("ranges")).alias("ranges")).alias("span")).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
@@ -449,4 +480,4 @@ def strip_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove(documents(spark, sf_dir).select("doc_id", "text"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.decode("kept", "UTF-8").alias("kept_text"))
