@@ -6,8 +6,8 @@ descending order. A piece goes to the open bin with the least room that still ho
 capacity with the least cost per token it is expected to hold, judged on the pieces still to come, all permitted lengths being compared.
 At the end each bin is downsized to the smallest permitted length that holds its contents.
 
-Only lengths are shuffled, never texts. Shards hold SHARD_PIECES pieces on average, whatever the input's size; more input
-makes more shards. The loss from packing shards apart is at most the few unfilled bins at the end of each.
+Only lengths are shuffled, never texts. Shards hold SHARD_PIECES pieces on average (the pieces are counted first), whatever the texts' lengths; more
+input makes more shards. The loss from packing shards apart is at most the few unfilled bins at the end of each.
 
 Defined cases: a null or empty text has one token, the end; a null id is packed like any other; repeated rows are packed
 each; an empty table gives no rows; other columns are ignored.
@@ -104,8 +104,9 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, longest: int) -> DataFra
 
 def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = LENGTHS, id_col: str = "doc_id", text_col: str = "text", shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """One row a piece: doc_id, piece, start, n_tokens, shard, bin, bin_offset, capacity. (shard, bin) names a sequence."""
-    shards = max(1, -(-docs.count() // shard_pieces))
-    dealt = pieces(docs, id_col, text_col, max(capacities)).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit("shard")), F.lit(shards)).cast("long"))
+    cut = pieces(docs, id_col, text_col, max(capacities))
+    shards = max(1, -(-cut.count() // shard_pieces))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit("shard")), F.lit(shards)).cast("long"))
 
     def one_shard(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "piece", "n_tokens"], kind="stable").reset_index(drop=True)
