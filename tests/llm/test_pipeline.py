@@ -48,7 +48,7 @@ def test_stages_match_brute_force(spark, docs, tmp_path):
     verdict = test_near_dedup.brute([texts[i] for i in ids], ids, 5, 80, 100)
     assert set(kept[2]) == {i for i, (_, least) in verdict.items() if i == least}
     ids = sorted(kept[2])
-    want = test_suffix_dedup.brute([texts[i] for i in ids], 400)
+    want = test_suffix_dedup.brute([texts[i] for i in ids], corpus_pipeline.SUBSTRING_BYTES)
     assert {i: len((kept[3][i] or "").encode()) for i in ids} == {i: n - gone for i, (n, gone, _, _) in zip(ids, want, strict=True)}
     assert any(gone for _, gone, _, _ in want)
     packed = seen[4].groupBy("doc_id").sum("n_tokens").collect()
