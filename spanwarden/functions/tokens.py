@@ -106,14 +106,16 @@ def preserve_card(original: Column, token: Column) -> Column:
     """A card-shaped token: first digit 9, a valid check digit, the original's separators."""
     size = F.greatest(F.length(F.regexp_replace(original, "[^0-9]", "")), F.lit(13))
     body = F.concat(F.lit("9"), F.substring(id_digits(token, size - 1), F.lit(2), size))
-    fake = F.concat(body, luhn_digit(body))
     zero = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
 
-    def step(a: Column, ch: Column) -> Column:
-        digit = ch.rlike("[0-9]")
-        return F.struct((a["n"] + F.when(digit, 1).otherwise(0)).alias("n"), F.concat(a["out"], F.when(digit, F.substring(fake, a["n"] + 1, F.lit(1))).otherwise(ch)).alias("out"))
+    def dress(fake: Column) -> Column:
+        def step(a: Column, ch: Column) -> Column:
+            digit = ch.rlike("[0-9]")
+            return F.struct((a["n"] + F.when(digit, 1).otherwise(0)).alias("n"), F.concat(a["out"], F.when(digit, F.substring(fake, a["n"] + 1, F.lit(1))).otherwise(ch)).alias("out"))
 
-    return F.aggregate(F.split(original, ""), zero, step, lambda a: F.concat(a["out"], F.substring(fake, a["n"] + 1, size)))
+        return F.aggregate(F.split(original, ""), zero, step, lambda a: F.concat(a["out"], F.substring(fake, a["n"] + 1, size)))
+
+    return let(body, lambda b: let(F.concat(b, luhn_digit(b)), dress))
 
 
 def replacement(entity: Column, token: Column, fmt: Column, value: Column) -> Column:

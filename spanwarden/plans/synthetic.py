@@ -54,7 +54,7 @@ HASHED = "CASE WHEN k % 3 = 0 THEN 'aA1' || repeat('b', 25) ELSE upper(md5(k::VA
 
 def stream_check(spark, d):
     """Each order's text as a stream of three chunks, cut within a value, checked with tokens; the chunks joined again, and the vault records counted."""
-    rows = _orders(spark, d).where("k % 8 = 0")
+    rows = _orders(spark, d)
     text = F.concat(F.lit("mail user"), _k(), F.lit("@corp.com and Server=db;Password=p"), _k(), F.lit("; end"))
     cut = rows.select("k", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("seq"), F.substring(text, a, n).alias("delta"), F.lit(i == 2).alias("is_final")) for i, (a, n) in enumerate(((1, 8), (9, 26), (35, 1000)))])).alias("c"))
     source = cut.select(_k().alias("stream_id"), "c.*")
@@ -108,7 +108,7 @@ ORACLE = {
     "detect_phone_synthetic": _sql("'+49 30 ' || lpad(k::VARCHAR, 7, '1')"),
     "detect_card_synthetic": _sql("'4' || lpad(k::VARCHAR, 15, '0')", _DIGIT),
     "detect_high_entropy": _sql(HASHED, "regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]') AND list_aggregate(string_split(value, ''), 'entropy') > 4.0", start=11),
-    "stream_check": "SELECT o_orderkey AS k, 'mail <EMAIL_> and [CONNECTION_STRING] end' AS text, 1 AS n_puts FROM orders WHERE o_orderkey % 8 = 0",
+    "stream_check": "SELECT o_orderkey AS k, 'mail <EMAIL_> and [CONNECTION_STRING] end' AS text, 1 AS n_puts FROM orders",
     "preserved_tokens": "SELECT o_orderkey AS k, 19 AS n, '9' AS first, true AS valid, 1 AS n_puts FROM orders",
     "vault_purge": "SELECT 'w' || user_id % 50 AS workflow_id, count(*) AS n FROM events WHERE user_id % 50 <> 7 AND event_id % 3 = 0 GROUP BY ALL",
 }
