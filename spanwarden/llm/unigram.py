@@ -9,8 +9,8 @@ The best segmentation of a text is the join of the best segmentations of its mar
 character; that is checked when the vocabulary is loaded, and words are then remembered in a bounded memo. Otherwise the
 text is one word. Everything that is sent to executors (trie, scores, pieces) is bounded by the vocabulary.
 
-The vocabulary's file is a parameter. A file of the BPE kind stores merge ranks in place of log scores; `zipf` turns rank r into
-the log probability under Zipf's law, 1 / (r + 1) normalised, `stored` takes the file's figures as they are.
+The vocabulary's file is a parameter. Its figures are taken as the log scores, as they are (`stored`), so a file of the BPE kind gives its
+negative merge ranks; `zipf` turns rank r into the log probability under Zipf's law, 1 / (r + 1) normalised.
 
 Defined cases: a null text encodes like an empty one, to no pieces; a marker character inside a text decodes to a space, which
 `round_trip` allows for; characters that the vocabulary lacks come back through bytes; ties go to the segmentation whose last
@@ -108,7 +108,7 @@ class Vocabulary:
         self.decoded = out
 
 
-def load(path: str, scores: str = "zipf") -> Vocabulary:
+def load(path: str, scores: str = "stored") -> Vocabulary:
     """The vocabulary of a SentencePiece model file; `scores` is `stored` or `zipf` (see above)."""
     import sentencepiece
 

@@ -1,6 +1,7 @@
 import itertools
 import math
 
+import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,6 +63,33 @@ def _codec(cache=[]):
     return cache[0]
 
 
+def test_ids_are_those_of_the_public_library(tmp_path):
+    """The public library's own unigram Viterbi over the same pieces. Scores below -40,000 are raised to that: the library adds in 32 bits."""
+    import pyarrow.parquet as pq
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(PATH, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = 1
+    for piece in proto.pieces:
+        piece.score = max(piece.score, -40_000.0)
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=path), ug.Codec(ug.load(path))
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").to_pylist()
+    lines = [" ".join(words[i : i + 60]) for t in texts if t for words in [t.split()] for i in range(0, len(words), 60)]
+    lines += ["Hello world", "a b", "two  marks", " edge ", "naïve façade", "x" * 300, "tab\tnew", "snow ☃ 𝄞", "日本語の文"]
+    assert len(lines) > 500
+    for line in lines:
+        ids, _ = codec.encode(line)
+        got = np.frombuffer(ids, "<u4").tolist()
+        assert got == library.encode(line), line
+        assert library.decode(got) == codec.decode(ids) == line
+
+
 def test_table(docs):
     texts = [None, "", " ", "plain words", "same", "same", "x" * 20_000, "tab\tnew\nline  two", "snow ☃ 𝄞"]
     v = _codec().vocabulary
