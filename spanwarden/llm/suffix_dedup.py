@@ -478,6 +478,7 @@ def strip_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """The contract's digests, and the kept bytes as text: a cut may fall inside a character, and what is left of that one reads as U+FFFD."""
     out = remove(documents(spark, sf_dir).select("doc_id", "text"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.decode("kept", "UTF-8").alias("kept_text"))
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))

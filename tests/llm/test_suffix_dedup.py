@@ -87,3 +87,13 @@ def test_rows_keep_their_columns(docs):
     assert out.columns == frame.columns
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {0: "x" * 50, 1: "", 2: ""}
     assert sd.remove(docs([])).collect() == [] and sd.strip_rows(docs([])).collect() == []
+
+
+def test_query_gives_text_where_a_cut_falls_inside_a_character(spark, docs, tmp_path):
+    shared = " ".join(f"w{i * 7919 % 1000}" for i in range(120))
+    texts = ["one é" + shared, "two ©" + shared + "é", "é" * 30, None]  # é and © end in the same byte, so the repeated string begins with it
+    docs(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in sd.op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    for i, (n_bytes, removed, spans, sha) in enumerate(brute(texts, 400)):
+        assert (rows[i]["n_bytes"], rows[i]["n_removed"], rows[i]["n_spans"], rows[i]["kept_sha256"]) == (n_bytes, removed, spans, sha)
+    assert rows[0]["kept_text"] == "one \ufffd" and rows[1]["kept_text"] == "two \ufffdé" and rows[2]["kept_text"] == "é" * 30 and rows[3]["kept_text"] == ""
