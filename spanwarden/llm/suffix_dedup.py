@@ -39,6 +39,8 @@ V = 13
 COVER = (0, 1, 3, 9)
 BLOCK_BYTES = 2 << 20
 HOT_RUNS = 2_000
+#: So many runs at most are broadcast: those with that share of all places or more.
+MOST_FREQUENT = 1024
 #: Starts in the pieces that hot buckets' runs are cut into, level by level; pieces of one start in one bucket are all equal.
 STEPS = (32, 4, 1, 1)
 _CHUNK = 1 << 25
@@ -341,8 +343,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = whole.distinct().select("digest", "whole", F.lit(None).cast("struct<offset:int,ranges:binary>").alias("part")).unionByName(partial.select("digest", F.lit(None).cast("boolean").alias("whole"), F.struct(F.col("offset").cast("int").alias("offset"), "ranges").alias("part")))
     known = known.groupBy("digest").agg(F.max("whole").alias("whole"), F.collect_set("part").alias("parts"))
     known = known.withColumn("parts", F.when(F.col("whole"), F.array(F.lit(None).cast("struct<offset:int,ranges:binary>"))).otherwise(F.col("parts")))
-    met = places.join(known, "digest").select("k1", "k2", "first", "n", "whole", F.explode("parts").alias("part"))
+    # Of the places, at most MOST_FREQUENT runs can each hold that share: they repeat as a whole, and are told apart by broadcast, so no key of the join is hot.
+    least = max(2, -(-cuts.count() // MOST_FREQUENT))
+    frequent = F.broadcast(stash(times.where(F.col("times") >= least).select("digest").distinct(), "suffix-frequent"))
+    met = places.join(frequent, "digest", "left_anti").join(known, "digest").select("k1", "k2", "first", "n", "whole", F.explode("parts").alias("part"))
     spans = met.select("k1", "k2", "first", "n", "whole", F.col("part.offset").alias("offset"), F.col("part.ranges").alias("ranges"))
+    often = places.join(frequent, "digest").select("k1", "k2", "first", "n", F.lit(True).alias("whole"), F.lit(None).cast("int").alias("offset"), F.lit(None).cast("binary").alias("ranges"))
+    spans = spans.unionByName(often)
     at = F.when(F.col("whole"), F.col("first")).otherwise(F.col("first") + F.col("offset"))
     return spans.select("k1", "k2", F.struct(at.alias("first"), F.when(F.col("whole"), F.col("n")).alias("n"), F.when(F.col("whole").isNull(), F.col("ranges")).alias("ranges")).alias("span")).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 

@@ -75,7 +75,9 @@ def test_matches_brute_force(docs, hot):
     assert {r["doc_id"]: digest(r) for r in rows} == dict(enumerate(want))
 
 
-def test_short_strings_and_repeated_rows(docs):
+@pytest.mark.parametrize("most", [1024, 1])  # whole runs told apart by broadcast, or met in the join
+def test_short_strings_and_repeated_rows(docs, monkeypatch, most):
+    monkeypatch.setattr(sd, "MOST_FREQUENT", most)
     texts = ["abcabcabcxyz", "xyzabcabc", "qqqqqqqqqqqq", None, "unique text here", "unique text here"]
     rows = sd.remove(docs(texts, [0, 1, 2, None, 4, 4]), length=6, k=3).collect()
     assert sorted(digest(r) for r in rows) == sorted(brute(texts, 6))
