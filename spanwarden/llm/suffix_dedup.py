@@ -311,7 +311,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     cuts = stash(keyed.join(wanted, ["k1", "k2"]).mapInArrow(cut, "k1 long, k2 long, first long, n int, lead int, bucket long, digest binary, run binary"), "suffix-runs")
     # Equal runs within a task were sent once; `bucket` and digest tell how many different ones remain, and how often each occurs.
-    times = cuts.groupBy("bucket", "digest").agg(F.count(F.lit(1)).alias("times"))
+    times = stash(cuts.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "suffix-times")
     level = cuts.where("run IS NOT NULL").select("bucket", "digest", "n", "lead", "run")
     partial, root = None, None  # root: a piece's digest -> the run that it is cut from, and where
     parts = partitions(docs.sparkSession)
@@ -337,15 +337,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             root = root.join(up, "run_digest").select("digest", "n", F.col("_top").alias("run_digest"), (F.col("offset") + F.col("_more")).alias("offset"))
         level = pieces.where("run IS NOT NULL").select("bucket", "digest", "n", "lead", "run")
     # A run that occurs twice as a whole is repeated at all its starts.
-    whole = times.where("times > 1").select("digest", F.lit(True).alias("whole"))
+    whole = times.select("digest", F.lit(True).alias("whole"))
     places = cuts.select("k1", "k2", "first", "n", "digest")
     # All that is known of a run in one row, so that its places meet it in one join, whose hot runs can be split.
-    known = whole.distinct().select("digest", "whole", F.lit(None).cast("struct<offset:int,ranges:binary>").alias("part")).unionByName(partial.select("digest", F.lit(None).cast("boolean").alias("whole"), F.struct(F.col("offset").cast("int").alias("offset"), "ranges").alias("part")))
+    known = whole.select("digest", "whole", F.lit(None).cast("struct<offset:int,ranges:binary>").alias("part")).unionByName(partial.select("digest", F.lit(None).cast("boolean").alias("whole"), F.struct(F.col("offset").cast("int").alias("offset"), "ranges").alias("part")))
     known = known.groupBy("digest").agg(F.max("whole").alias("whole"), F.collect_set("part").alias("parts"))
     known = known.withColumn("parts", F.when(F.col("whole"), F.array(F.lit(None).cast("struct<offset:int,ranges:binary>"))).otherwise(F.col("parts")))
     # Of the places, at most MOST_FREQUENT runs can each hold that share: they repeat as a whole, and are told apart by broadcast, so no key of the join is hot.
     least = max(2, -(-cuts.count() // MOST_FREQUENT))
-    frequent = F.broadcast(stash(times.where(F.col("times") >= least).select("digest").distinct(), "suffix-frequent"))
+    frequent = F.broadcast(stash(times.where(F.col("times") >= least).select("digest"), "suffix-frequent"))
     met = places.join(frequent, "digest", "left_anti").join(known, "digest").select("k1", "k2", "first", "n", "whole", F.explode("parts").alias("part"))
     spans = met.select("k1", "k2", "first", "n", "whole", F.col("part.offset").alias("offset"), F.col("part.ranges").alias("ranges"))
     often = places.join(frequent, "digest").select("k1", "k2", "first", "n", F.lit(True).alias("whole"), F.lit(None).cast("int").alias("offset"), F.lit(None).cast("binary").alias("ranges"))
