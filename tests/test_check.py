@@ -121,6 +121,15 @@ def test_default_policy_and_round_trip(spark):
     assert vault.insert_if_absent(store, vault.records(checked, "id"), MASTER).count() == 0
 
 
+def test_restore_rows_with_repeated_and_null_keys(spark, tmp_path):
+    from spanwarden.plans import catalog
+
+    rows = [(1, "mail a@b.co, c@d.org"), (1, "mail a@b.co, c@d.org"), (1, "now c@d.org"), (2, "A@B.co"), (3, "a@b.co"), (None, "x a@b.co"), (None, None), (4, "none")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    back = catalog.restore_roundtrip(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, back)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in rows)
+
+
 def test_block_as_mask_and_row_boundaries(spark):
     df = spark.createDataFrame([(0, "tool:crm:out", "x", key("AKIA", "ABCDEFGH12345678", " a@b.co")), (1, "telemetry", None, "a@b.co")], "id int, b string, agent string, text string")
     masked = ck.check(df, "text", ck.Context(boundary=MODEL, master=MASTER, apply_block_as="mask")).where("id = 0").first()
