@@ -35,6 +35,8 @@ from .common import WordHashes, documents, partitions, shingle_hashes, stash
 K, FINE = 64, 512
 #: Hubs of a list's first turn, and how many times as many come by the next.
 HUBS, GROWTH = 32, 32
+#: Entries before an entry that are looked at to tell whether two texts have met already.
+BEFORE = 4
 #: Links that a task takes while groups are joined.
 TASK_ROWS = 100_000
 SHINGLE, SIMILARITY = 5, (80, 100)
@@ -154,32 +156,42 @@ def promising(classes: DataFrame, similarity: tuple[int, int], k: int) -> DataFr
 
 
 def inverted_lists(sketched: DataFrame, similarity: tuple[int, int], k: int) -> DataFrame:
-    """value, node, size, own, left: the entries of the prefix filter. `own` counts the values that no other sketch holds, `left` those shared from this one on. sketched: node, size, sketch."""
+    """value, node, size, own, left, before: the entries of the prefix filter. `own` counts the values that no other sketch holds, `left` those shared from this one on;
+    `before` holds the node's BEFORE entries before this one. sketched: node, size, sketch."""
     values = sketched.select("node", "size", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = Window.partitionBy("node")  # one sketch, at most k rows
     held = values.join(shared, "value").withColumn("held", F.count(F.lit(1)).over(own)).withColumn("least", _least(similarity, k)).where("held >= least")
-    placed = held.withColumn("place", F.row_number().over(own.orderBy("df", "value"))).where("place <= held - least + 1")
-    return placed.select("value", "node", "size", (F.least("size", F.lit(k)) - F.col("held")).alias("own"), (F.col("held") - F.col("place") + 1).alias("left"))
+    order = own.orderBy("df", "value")
+    before = F.array_compact(F.array(*[F.lag("value", i + 1).over(order) for i in range(BEFORE)]))
+    placed = held.withColumn("place", F.row_number().over(order)).withColumn("before", before).where("place <= held - least + 1")
+    return placed.select("value", "node", "size", (F.least("size", F.lit(k)) - F.col("held")).alias("own"), (F.col("held") - F.col("place") + 1).alias("left"), "before")
 
 
-def link(entries: DataFrame, sets: DataFrame, similarity: tuple[int, int], k: int = FINE) -> DataFrame:
-    """(node, component) of the nodes linked with another. entries: as from `inverted_lists`; sets: node, size, set."""
-    num, den = similarity
+def hub_columns(rows: DataFrame, grp: str) -> DataFrame:
+    more = [F.col("before").alias("hub_before")] if "before" in rows.columns else []
+    return rows.select("value", F.col("node").alias("hub"), F.col(grp).alias("hub_grp"), F.col("size").alias("hub_size"), F.col("left").alias("hub_left"), *more)
 
-    def hub_columns(rows: DataFrame, grp: str) -> DataFrame:
-        return rows.select("value", F.col("node").alias("hub"), F.col(grp).alias("hub_grp"), F.col("size").alias("hub_size"), F.col("left").alias("hub_left"))
 
-    def meetings(members: DataFrame, hubs: DataFrame) -> DataFrame:
-        """Members and hubs of one list and different groups that can be similar: their sizes, and the values they share from here on, allow it."""
-        both = F.col("size") + F.col("hub_size")
-        whole = F.greatest("size", "hub_size") <= k
-        asked = F.when(whole, F.ceil(both * num / (num + den))).otherwise(F.lit(least_overlap(den * k, k, similarity)).cast("long"))
-        able = (F.least("size", "hub_size") * den >= F.greatest("size", "hub_size") * num) & (F.least("left", "hub_left") >= asked)
-        return members.join(hubs, "value").where((F.col("grp") != F.col("hub_grp")) & able)
+def meetings(members: DataFrame, hubs: DataFrame, similarity: tuple[int, int], k: int) -> DataFrame:
+    """Members and hubs of one list and different groups that can be similar: their sizes, and the values they share from here on, allow it.
 
+    Where hubs have `before`, those that meet in a list just before as well are left to that one: there, at most one is in the largest group, so the other has its turn.
+    """
+    num, den = similarity
+    both = F.col("size") + F.col("hub_size")
+    whole = F.greatest("size", "hub_size") <= k
+    asked = F.when(whole, F.ceil(both * num / (num + den))).otherwise(F.lit(least_overlap(den * k, k, similarity)).cast("long"))
+    able = (F.least("size", "hub_size") * den >= F.greatest("size", "hub_size") * num) & (F.least("left", "hub_left") >= asked)
+    if "hub_before" in hubs.columns:
+        able &= ~F.arrays_overlap("before", "hub_before")
+    return members.join(hubs, "value").where((F.col("grp") != F.col("hub_grp")) & able)
+
+
+def link(entries: DataFrame, sets: DataFrame, similarity: tuple[int, int], k: int = FINE) -> DataFrame:
+    """(node, component) of the nodes linked with another. entries: as from `inverted_lists`; sets: node, size, set."""
     leaders = entries.groupBy("value").agg(F.min(F.struct("own", "node", "size", "left")).alias("h")).select("value", "h.*")
-    met = meetings(entries.withColumn("grp", F.col("node")), hub_columns(leaders, "node")).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
+    met = meetings(entries.withColumn("grp", F.col("node")), hub_columns(leaders, "node"), similarity, k).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
     best = met.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("b")).select(F.col("node").alias("a"), "b")
     groups = components(stash(_verify(best, sets, similarity, k), "links"))
     named = entries.join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component")
@@ -188,12 +200,12 @@ def link(entries: DataFrame, sets: DataFrame, similarity: tuple[int, int], k: in
     # A member's place among those outside the largest group, by a hash: places 0 to HUBS - 1 have the first turn, then GROWTH times as many have the next, and so on.
     place = (F.pmod(F.xxhash64("node", "value"), F.lit(1 << 30)) / float(1 << 30)) * (F.col("members") - F.col("top.c"))
     turn = F.when(F.col("grp") != F.col("top.grp"), F.floor(F.log(float(GROWTH), place / HUBS * (GROWTH - 1) + 1)).cast("int"))
-    listed = stash(named.join(mixed, "value").select("value", "node", "size", "left", turn.alias("turn")), "mixed-lists")
+    listed = stash(named.join(mixed, "value").select("value", "node", "size", "left", "before", turn.alias("turn")), "mixed-lists")
     last = listed.agg(F.max("turn")).first()[0]
     for now in range(0 if last is None else last + 1):
         named = listed.join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node"))
         # Of two that meet, a is the member: each pair is compared once a turn, under the labels of their groups.
-        pairs = meetings(named, hub_columns(named.where(F.col("turn") == now), "grp")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.least("grp", "hub_grp").alias("g"), F.greatest("grp", "hub_grp").alias("h")).distinct()
+        pairs = meetings(named, hub_columns(named.where(F.col("turn") == now), "grp"), similarity, k).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.least("grp", "hub_grp").alias("g"), F.greatest("grp", "hub_grp").alias("h")).distinct()
         found = stash(_verify(pairs, sets, similarity, k), "links")
         if not found.isEmpty():
             merged = components(found.select(F.col("g").alias("a"), F.col("h").alias("b")))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanwarden.llm import near_dedup as nd
 
@@ -86,6 +87,16 @@ def test_a_group_around_an_original_makes_few_pairs(docs, monkeypatch):
     assert made and sum(made) < len(texts) ** 2 / 20  # a tenth of all pairs
 
 
+def test_two_texts_meet_where_their_lists_first_agree(spark):
+    base = [3 * i for i in range(200)]
+    sets = {1: base, 2: base[:199] + [900], 3: base[1:] + [901], 4: sorted([*base[:10], *base[12:], 902])}
+    sketched = spark.createDataFrame([(n, len(x), x) for n, x in sets.items()], "node long, size long, sketch array<long>")
+    entries = nd.inverted_lists(sketched, (80, 100), 512).withColumn("grp", F.col("node"))
+    met = nd.meetings(entries, nd.hub_columns(entries, "grp"), (80, 100), 512).where("node < hub").select("node", "hub").collect()
+    assert set(map(tuple, met)) == {(a, b) for a in sets for b in sets if a < b}
+    assert len(met) <= 12  # without looking back they meet in each of the 38 lists or so that they share
+
+
 def test_text_ids(spark):
     frame = spark.createDataFrame([("b", "one two three four five six"), ("a", "One two three four five six"), (None, "x")], "doc_id string, text string")
     assert sorted((r["doc_id"] or "", r["component_id"] or "") for r in nd.near_duplicates(frame).collect()) == [("", ""), ("a", "a"), ("b", "a")]
