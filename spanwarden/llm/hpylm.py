@@ -1,4 +1,4 @@
-"""Language-model scoring by a hierarchical Pitman-Yor model, its seating sampled by Gibbs.
+"""Language-model scoring by a small Pitman-Yor model of a few contexts, its seating sampled by Gibbs. The query's model, with a restaurant for each word, is in `word_lm`.
 
 Words are the dishes. Context restaurants, CONTEXTS of them, stand for the last short word (up to three letters a-z) before a word, by its hash; they
 share one parent, the root restaurant, whose base is uniform over the training vocabulary and one unknown word. In a restaurant
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, partitions, stash
+from .common import mix64, partitions, stash
 
 CONTEXTS = 16
 SWEEPS, BURN_IN = 4, 2
@@ -399,7 +399,3 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """start..end of each pair, joined."""
     sizes = ends - starts
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-
-
-def op4_pitman_yor(spark, sf_dir: str) -> DataFrame:
-    return score(documents(spark, sf_dir))
