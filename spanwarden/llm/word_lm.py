@@ -29,8 +29,10 @@ from .common import documents, mix64, partitions, scratch_path, stash
 from .hpylm import _END, BURN_IN, STRENGTH, SWEEPS, _word_hash, held_out, seat
 from .token_store import _open
 
-BLOCK_TOKENS = 2_300_000
+BLOCK_TOKENS = 3_000_000
 _U = np.uint64
+#: Arrays of many numbers, which are kept by byte planes.
+_PLANES = ("own", "rest", "where", "token", "tables", "count", "total")
 _ROWS = "block long, part long, first long, file string, data binary"
 _MAIL = "to long, sender long, file string, sums array<double>, data binary"
 
@@ -146,7 +148,7 @@ def _save(folder: str, **arrays) -> str:
     filesystem, base = _open(folder)
     filesystem.create_dir(base, recursive=True)
     raw = io.BytesIO()
-    np.savez(raw, **arrays)
+    np.savez(raw, **{k: np.frombuffer(_pack(a), np.uint8) if k in _PLANES else a for k, a in arrays.items()})
     name = f"{folder}/{uuid.uuid4().hex}.npz"
     with filesystem.open_output_stream(_open(name)[1]) as sink:
         sink.write(len(raw.getvalue()).to_bytes(8, "little") + pa.Codec("zstd").compress(raw.getvalue(), asbytes=True))
@@ -157,7 +159,8 @@ def _load(name: str) -> dict[str, np.ndarray]:
     filesystem, path = _open(name)
     with filesystem.open_input_file(path) as source:
         data = source.read()
-    return dict(np.load(io.BytesIO(pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True))))
+    held = np.load(io.BytesIO(pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)))
+    return {k: _unpack(held[k].tobytes())[0].astype(np.int64) if k in _PLANES else held[k] for k in held.files}
 
 
 def _drop(names) -> None:
@@ -271,7 +274,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             rest, own, total, where = rest[order], own[order], total[order], rank[where]
-            file = _save(folder, before=firsts, rest=rest.astype("<u4"), word=words, own=own.astype("<u4"), count=total, where=where.astype("<u4"), bounds=np.array(bounds), block=np.array([r["block"] for r in rows]), first=np.array([r["first"] for r in rows]), size=np.array(sizes))
+            file = _save(folder, before=firsts, rest=rest, word=words, own=own, count=total, where=where, bounds=np.array(bounds), block=np.array([r["block"] for r in rows]), first=np.array([r["first"] for r in rows]), size=np.array(sizes))
             seen = np.bincount(own, total, len(words)).astype("<i8"), np.bincount(own, total > 0, len(words)).astype("<i8")
             yield from _mail(part, bounds, [words, *seen], file, [float((total == 1).sum()), float((total == 2).sum())])
 
@@ -284,7 +287,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
             tables = np.minimum(customers, 1)
             ends = np.cumsum([0, *(len(_unpack(r["data"])[0]) for r in rows)]).tolist()
             bounds = [(r["sender"], s, e) for r, s, e in zip(rows, ends[:-1], ends[1:], strict=True)]
-            file = _save(folder, word=words, where=where.astype("<u4"), bounds=np.array(bounds))
+            file = _save(folder, word=words, where=where, bounds=np.array(bounds))
             sums = [float(x) for x in (total.sum(), (total > 0).sum(), customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum())]
             yield from _mail(to, bounds, [x[where].astype("<i8") for x in (customers, tables, total)], file, sums)
 
@@ -302,7 +305,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
         answer = [x.astype(np.int64) for x in _column(rows)]
         total = answer[2] if sweep == 1 else mood["total"]
         under = root.probability(answer[0], answer[1])[state["own"]]
-        tables, rest, n = mood["tables"].astype(np.float64), state["rest"].astype(np.int64), len(state["before"])
+        tables, rest, n = mood["tables"].astype(np.float64), state["rest"], len(state["before"])
         added = mood["sum"]
         if sweep - 1 > BURN_IN:
             added = added + predictive(state["count"], tables, rest, n, under, root.discounts[0])
@@ -315,7 +318,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
                 state, tables, rest, n, under, added, total = follow(part, rows, sweep, root, moods)
                 seeds = pair_seeds(state["before"][rest], state["word"][state["own"]])
                 tables = reseat(state["count"], tables, rest, n, under, root.discounts[0], seeds, sweep)
-                file = _save(folder, tables=tables.astype("<u4"), total=total, sum=added.astype(np.float32))
+                file = _save(folder, tables=tables.astype(np.int64), total=total, sum=added.astype(np.float32))
                 yield from _mail(part, [tuple(x) for x in state["bounds"].tolist()], [np.bincount(state["own"], tables, len(state["word"])).astype("<i8")], file, [0.0])
 
         def reseat_words(batches, sweep=sweep, root=root):
