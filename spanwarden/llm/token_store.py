@@ -26,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ END_ID = 2
 _HEAD = struct.Struct("<IHBH")
 _FOOT = struct.Struct("<QQQQQ8s")
 _BLOCKS_AT_ONCE = 128
+_BYTES_AT_ONCE = 8 << 20
 
 
 def pack_blocks(values: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
@@ -115,14 +117,16 @@ class _Memo(dict):
 
 
 class Encoder:
-    """Encodes texts with a `tokenizers` file, remembering the ids of space-separated chunks.
+    """Encodes texts with a `tokenizers` file, each space-separated chunk of a batch once.
 
     The byte-level pre-tokeniser always starts a new piece at a space between two other characters, so a text may be cut there
     without changing its ids. Texts that hold an added token, or control characters on whose class libraries differ, go to the library whole.
-    A chunk of plain letters and one run of plain marks is two pieces to the pre-tokeniser, and so is remembered as two.
+    Of texts that hold other spaces, the ids of chunks are remembered; a chunk of plain letters and one run of plain marks is two pieces to the
+    pre-tokeniser, and so is remembered as two.
     """
 
     LIMIT = 300_000
+    LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[.,;:!?$%&*#|]"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -135,8 +139,13 @@ class Encoder:
         self.unclear = re.compile(r"[\x1c-\x1f\x85\u180e\u200b]")
         self.odd = re.compile(r"(?<!\S) | (?!\S)")
         self.cut = re.compile(r"(?<=\S) (?=\S)")
-        self.marked = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?$%&*#|]*)")
+        self.marked = re.compile(f"({self.LETTERS}+)({self.MARKS}*)")
         self.alphabet = {b: chr(c) for b, c in _byte_alphabet().items()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaces, self.feeds = (np.zeros(max(vocabulary.values()) + 1, bool) for _ in range(2))
+        for leads, byte in ((self.spaces, 0x20), (self.feeds, 0x0A)):
+            leads[[i for token, i in vocabulary.items() if token.startswith(self.alphabet[byte])]] = True
+        self.known: dict[str, bytes] = {}
         self.pieces = _Memo(self._piece, self.LIMIT)
         self.chunks = _Memo(self._chunk, self.LIMIT)
 
@@ -160,26 +169,80 @@ class Encoder:
             return feed.join([self._word(" ", lines[0]), *[self._word("", line) for line in lines[1:]]])
         return self._word(" ", chunk)
 
-    def split(self, text: str) -> list[str] | None:
-        """The text cut at spaces, or None where the library has to see the whole text."""
+    def split(self, text: str) -> list[str] | str | None:
+        """The text cut at spaces, the text itself where every space and line feed is a cut, or None where the library has to see the whole text."""
         if any(t in text for t in self.added):
             return None
-        odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
+        odd = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace()
         if self.rare.search(text):
             if self.unclear.search(text):
                 return None
-            odd = odd or self.odd.search(text)
-        return self.cut.split(text) if odd else text.split(" ")
+            odd = True
+        return self.cut.split(text) if odd else text
+
+    def spaced(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks without spaces, each with the space before it, or from the line feed on that it begins with.
+
+        The library gets many new ones in one text, where each one's first token alone begins with a space or with a line feed.
+        """
+        if len(self.known) >= 2 * self.LIMIT:
+            self.known.clear()
+        found = list(map(self.known.get, chunks))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for mark, leads in ((" ", self.spaces), ("\n", self.feeds)):
+            own = [i for i in new if (chunks[i][:1] == "\n") == (mark == "\n")]
+            for at in range(0, len(own), 10_000):
+                part = [chunks[i] for i in own[at : at + 10_000]]
+                joined = " " + " ".join(part) if mark == " " else "".join(part)
+                ids = np.zeros(0, "<u4") if any(t in joined for t in self.added) else np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+                starts = np.flatnonzero(leads[ids])
+                if len(starts) == len(part):
+                    data, ends = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
+                    made = [data[s:e] for s, e in zip(ends, ends[1:], strict=False)]
+                else:
+                    made = [self.library(x if mark == "\n" else " " + x) for x in part]
+                self.known.update(zip(part, made, strict=True))
+                for i, one in zip(own[at : at + 10_000], made, strict=True):
+                    found[i] = one
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
-        out = []
-        for text in texts:
+        """Little-endian uint32 ids of each text. Chunks that the texts share are looked up once."""
+        out: list[bytes] = [b""] * len(texts)
+        plain = []
+        for i, text in enumerate(texts):
             parts = self.split(text)
             if parts is None:
-                out.append(self.library(text))
+                out[i] = self.library(text)
+            elif parts is text:
+                if text:
+                    plain.append(i)
             else:
-                out.append(b"".join([self.library(parts[0]) if parts[0] else b"", *map(self.chunks.__getitem__, parts[1:])]))
+                out[i] = b"".join([self.library(parts[0]) if parts[0] else b"", *map(self.chunks.__getitem__, parts[1:])])
+        if not plain:
+            return out
+        cut = pc.split_pattern(pa.array([texts[i].replace("\n", " \n") for i in plain], pa.large_string()), " ")
+        starts, chunks = cut.offsets.to_numpy(), cut.values.dictionary_encode()
+        first = np.zeros(len(chunks), bool)
+        first[starts[:-1]] = True  # has no space before it
+        index = chunks.indices.to_numpy()
+        heads = [self.library(x) for x in chunks.dictionary.take(pa.array(index[first])).to_pylist()]
+        # A chunk of letters and marks is two entries, any other one and an empty one.
+        both = pc.match_substring_regex(chunks.dictionary, rf"^\n?{self.LETTERS}+{self.MARKS}*$")
+        words = pc.if_else(both, pc.replace_substring_regex(chunks.dictionary, f"{self.MARKS}+$", ""), chunks.dictionary).dictionary_encode()
+        marks = pc.if_else(both, pc.replace_substring_regex(chunks.dictionary, rf"^\n?{self.LETTERS}+", ""), "").dictionary_encode()
+        ids = self.spaced(words.dictionary.to_pylist())
+        after = [self.pieces[x] if x else b"" for x in marks.dictionary.to_pylist()]
+        entries = np.empty((len(chunks), 2), np.int64)
+        entries[:, 0] = words.indices.to_numpy()[index]
+        entries[:, 1] = marks.indices.to_numpy()[index] + len(ids)
+        entries[first, 0] = len(ids) + len(after) + np.arange(len(heads))
+        entries[first, 1] = len(ids) + len(after) + len(heads)
+        whole = pa.array([*ids, *after, *heads, b""], pa.large_binary()).take(pa.array(entries.ravel()))
+        at = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1)[2 * starts].tolist()
+        data = memoryview(whole.buffers()[2])
+        for i, s, e in zip(plain, at, at[1:], strict=False):
+            out[i] = bytes(data[s:e])
         return out
 
 
@@ -278,8 +341,9 @@ def encode_corpus(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
                 name = f"{base}/ids-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
                 sink = filesystem.open_output_stream(name + ".part")
                 writer = Writer(sink)
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            step = min(2048, max(1, batch.num_rows * _BYTES_AT_ONCE // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 tokens = encoder.encode(part.column("text").to_pylist())
                 writer.add(part.column("id").to_pylist(), [t + end for t in tokens])
         if writer is None:

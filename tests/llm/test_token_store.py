@@ -57,3 +57,14 @@ def test_files_read_back(spark, docs, tmp_path):
 def test_empty_table(docs, tmp_path):
     manifest = ts.encode_corpus(docs([]), f"file://{tmp_path}/none", PATH)
     assert ts.read_corpus(manifest).collect() == []
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abé 1'\n.,s!<\xa0日"), max_size=40), max_size=12))
+def test_texts_of_one_batch(texts):
+    """Chunks that are looked up once for all texts of a batch give what the library gives for each text."""
+    encoder = _encoder()
+    encoder.known.clear()
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts[::-1])] == want[::-1]
